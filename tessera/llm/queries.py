@@ -4,19 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import decontaminate, exact, neardup, packing, tokencount
+
+#: Vocabulary file of the token counts and of packing: a parameter of those operators.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
+    "op2_exact_digest": op2_exact_digest,
+    "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
+    "op10_packing": op10_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words of the contracts on whole words, in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+                FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM b)),
+        sizes AS (SELECT DISTINCT k FROM win),
+        dw AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS g
+               FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, sizes)),
+        hit AS (SELECT doc_id, k, s, item_id FROM dw JOIN win USING (k, g)),
+        cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+}
