@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, neardup, packing, tokencount
+from . import decontaminate, exact, langid, neardup, packing, quality, tokencount
 
 #: Vocabulary file of the token counts and of packing: a parameter of those operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -41,9 +49,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_language": op1_crf_language,
     "op2_exact_digest": op2_exact_digest,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op10_packing": op10_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
 }

@@ -114,7 +114,7 @@ class Compiled:
         order = np.argsort(pair, kind="stable")
         self.pairs, self.ranks = pair[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)[order]
-        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = {t["content"]: t["id"] for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"]))}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("only plain special strings can be compiled")
         self.classes = character_classes(Tokenizer.from_file(path))
@@ -210,16 +210,40 @@ class Counter:
         return out
 
     def compile(self, words: list[bytes]) -> np.ndarray:
-        """Tokens of each word by the merge table: a round applies every word's best merge."""
-        n = len(words)
-        size = np.fromiter(map(len, words), np.int64, n)
-        out = np.zeros(n, np.int64)
-        for i in np.flatnonzero(size > LONG_BYTES).tolist():
-            out[i] = self.merge_long(words[i])
-        todo = np.flatnonzero((size <= LONG_BYTES) & (size > 0))
-        ids = self.c.byte_ids[np.frombuffer(b"".join([words[i] for i in todo.tolist()]), np.uint8)]
-        word = np.repeat(todo, size[todo])
+        """Tokens of each word by the merge table."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        _, word = self.merge(np.frombuffer(b"".join(words), np.uint8), np.repeat(np.arange(len(words)), size))
+        return np.bincount(word, minlength=len(words))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (without special strings) end to end, and each text's number of ids; no arc is remembered."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size + 1) - 1
+        joined = "\n".join(texts) + "\n"
+        begins = self.boundaries(self.symbols(joined, ends))
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+        width[ends] = 0
+        raw = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        whole = np.where(width == 0, 1, width)
+        raw = raw[np.repeat(width > 0, whole)]
+        ids, word = self.merge(raw, np.repeat(np.cumsum(begins), width))
+        owner = np.repeat(np.arange(len(texts)), size + 1)[np.flatnonzero(begins)][word - 1] if len(word) else word
+        return ids, np.bincount(owner, minlength=len(texts))
+
+    def merge(self, raw: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids and their words, in order, of bytes and their (ascending) words: a round applies every word's best merge."""
+        ids = self.c.byte_ids[raw]
         none = np.int64(len(self.c.pairs))
+        out_ids, out_word = [], []
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(ids) else np.empty(0, np.int64)
+        length = np.diff(np.append(first, len(ids)))
+        for i in np.flatnonzero(length > LONG_BYTES).tolist():
+            made = self.merge_long(ids[first[i] : first[i] + length[i]].tolist())
+            out_ids.append(np.array(made, np.int64))
+            out_word.append(np.full(len(made), word[first[i]]))
+        keep = np.repeat(length <= LONG_BYTES, length)
+        ids, word = ids[keep], word[keep]
         while len(ids):
             pair = np.empty(len(ids), np.int64)
             pair[:-1], pair[-1] = ids[:-1] << 32 | ids[1:], -1
@@ -229,23 +253,27 @@ class Counter:
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             best = np.minimum.reduceat(rank, first)
             length = np.diff(np.append(first, len(ids)))
-            done = best == none
-            out[word[first[done]]] = length[done]
+            done = np.repeat(best == none, length)
+            out_ids.append(ids[done])
+            out_word.append(word[done])
             hit = np.flatnonzero((rank == np.repeat(best, length)) & (rank < none))
             if len(hit):
                 hit = hit[np.concatenate(([True], word[hit[1:]] != word[hit[:-1]]))]  # each word's leftmost
             ids[hit] = self.c.merged[at[hit]]
-            keep = np.repeat(~done, length)
+            keep = ~done
             keep[hit + 1] = False
             ids, word = ids[keep], word[keep]
-        return out
-
-    def merge_long(self, word: bytes) -> int:
-        """As compile, for one long word, with a heap."""
+        if not out_ids:
+            return ids, word
+        ids, word = np.concatenate(out_ids), np.concatenate(out_word)
+        order = np.argsort(word, kind="stable")
+        return ids[order], word[order]
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The tokens of one long word, with a heap."""
         if self.by_pair is None:
             self.by_pair = dict(zip(self.c.pairs.tolist(), zip(self.c.ranks.tolist(), self.c.merged.tolist(), strict=True), strict=True))
-        ids = self.c.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        after, before, left = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1)), len(ids)
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap: list[tuple[int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -264,11 +292,10 @@ class Counter:
             after[i] = after[j]
             if after[j] < len(ids):
                 before[after[j]] = i
-            left -= 1
             if before[i] >= 0:
                 offer(before[i])
             offer(i)
-        return left
+        return [x for x in ids if x >= 0]
 
 
 def token_count(spark, path: str):
