@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, langid, neardup, packing, quality, tokencount
+from . import decontaminate, exact, langid, licenses, neardup, packing, quality, tokencount, toolcalls, urlfilter
 
 #: Vocabulary file of the token counts and of packing: a parameter of those operators.
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,6 +48,15 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no tool messages of its own, so every turn is made one (see toolcalls.from_turns)."""
+    return toolcalls.link(toolcalls.from_turns(read(spark, sf_dir, "conversations")), toolcalls.TURN_TOOLS)
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -53,9 +66,12 @@ QUERIES = {
     "op2_exact_digest": op2_exact_digest,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_license_diagonals": op5_license_diagonals,
     "op6_kneser_ney_quality": op6_kneser_ney_quality,
-    "op10_packing": op10_packing,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_tool_calls": op8_tool_calls,
+    "op9_url_rules": op9_url_rules,
+    "op10_packing": op10_packing,
 }
 
 #: Words of the contracts on whole words, in DuckDB.
@@ -79,4 +95,21 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
     """,
+    # the pattern rules, one after another, are the method's; host rules come first, the longest of them
+    "op9_url_rules": f"""
+        WITH cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                         translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM cut),
+        ruled AS (SELECT *, CASE
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+            CASE {" ".join(f"WHEN low LIKE '%{p.replace('_', chr(92) + '_').replace('*', '%')}%' ESCAPE '{chr(92)}' THEN '{p}'" for p in sorted(urlfilter.PATTERNS))} END AS found FROM parts)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN found IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+               CASE WHEN rule IS NULL THEN found END AS pattern
+        FROM ruled
+    """,
 }
