@@ -71,6 +71,13 @@ def chunks(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterator[tu
         yield start, run
 
 
-def column(name: str) -> F.Column:
-    """A column whose name may hold dots or spaces."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df's columns don't have, so that no column of the caller is hidden."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import native_words, save, small
+from .common import free, native_words, save, small
 
 #: Windows up to which the index is broadcast (about 200 bytes each).
 INDEX_ROWS = 200_000
@@ -141,5 +141,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """docs with all its columns, without the contaminated documents."""
-    bad = save(contamination(docs, items, **settings).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if small(bad) else bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = save(contamination(docs, items, **settings).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias(name := free(docs, "_bad")[0])).distinct(), "contaminated")
+    return docs.join(F.broadcast(bad) if small(bad) else bad, F.col("doc_id") == F.col(name), "left_anti")

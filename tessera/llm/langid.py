@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, free
 
 #: Runs of letters (and letter-like numerals); digits and signs are not words.
 WORD = re.compile(r"[^\W\d_]+")
@@ -317,8 +317,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `language` (lang, score, words, switches).
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+    """docs with a struct column `out` (lang, score, words, switches).
 
     lang is a learned language, or `und` if the text is null or has no letter
     (score 0) or nothing was learned; score is the share of letters in it.
@@ -326,8 +326,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     """
     if not model.labels:
         nothing = F.struct(F.lit(NONE).alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("switches"))
-        return docs.withColumn("language", nothing)
-    return docs.withColumn("language", language(docs.sparkSession, model)(F.col(text_col)))
+        return docs.withColumn(out, nothing)
+    return docs.withColumn(out, language(docs.sparkSession, model)(F.col(text_col)))
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
@@ -344,4 +344,5 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs with all its columns, without texts that have no letters or whose letters are in no one language for the most part."""
-    return identify(docs, model).filter((F.col("language.lang") != NONE) & (F.col("language.score") >= least)).drop("language")
+    (name,) = free(docs, "_language")
+    return identify(docs, model, out=name).filter((F.col(f"{name}.lang") != NONE) & (F.col(f"{name}.score") >= least)).drop(name)

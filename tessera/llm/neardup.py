@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_CHARS, chunks, maybe_broadcast, save
+from .common import BATCH_CHARS, chunks, free, maybe_broadcast, save
 from .graph import components
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -347,5 +347,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """docs with all its columns, one document of each component: the smallest id."""
-    gone = near_duplicates(docs, **settings).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(maybe_broadcast(save(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **settings).filter("not kept").select(F.col("doc_id").alias(name := free(docs, "_gone")[0]))
+    return docs.join(maybe_broadcast(save(gone, "gone")), F.col("doc_id") == F.col(name), "left_anti")
