@@ -10,7 +10,7 @@ OPTIONS = {
     "parquet": {},
     "orc": {},
     "json": {"ignoreNullFields": "false"},
-    "csv": {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
+    "csv": {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
 }
 
 

@@ -59,7 +59,7 @@ def test_cosine(spark):
 def test_stream_drops_late_events_in_append_mode(spark, tmp_path):
     at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
     shape = "event_id long, ts timestamp_ntz, event_type string, value double"
-    for i, rows in enumerate([[(1, at(0, 10), "c", 1.0), (2, at(0, 50), "c", 2.0)], [(3, at(3), "c", 1.0)], [(4, at(0, 20), "c", 9.0)], [(5, at(6), "c", 1.0)]]):
+    for i, rows in enumerate([[(1, at(0, 10), "c", 1.0), (2, at(0, 50), "c", 2.0)], [(3, at(3), "c", 1.0)], [(6, at(3, 30), "c", 1.0)], [(4, at(0, 20), "c", 9.0)], [(5, at(6), "c", 1.0)]]):
         spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/s/{i}")
         for file in (tmp_path / "s" / str(i)).iterdir():
             os.utime(file, (1_700_000_000 + 60 * i,) * 2)
