@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 #: Characters that a Python worker handles at once, so that its memory doesn't depend on the texts.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 #: Upper and lower case of the contract's folding: A-Z only.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +24,11 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _own: dict[str, str] = {}
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (local runs)."""
@@ -69,6 +75,13 @@ def chunks(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterator[tu
         size += len(text)
     if run:
         yield start, run
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system: idle workers stay beside the executor's heap and would keep it."""
+    if _trim is not None:
+        _trim(0)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Label of texts without a letter.
 NONE = "und"
 #: Steps of a block, words that a worker remembers, buckets that features are hashed to.
-BLOCK, CACHE, BUCKETS = 32, 400_000, 1 << 17
+BLOCK, CACHE, BUCKETS = 32, 250_000, 1 << 17
 
 
 def spread(x: np.ndarray) -> np.ndarray:

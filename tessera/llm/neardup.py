@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_CHARS, chunks, free, maybe_broadcast, save
+from .common import BATCH_CHARS, chunks, free, maybe_broadcast, release, save
 from .graph import components
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker remembers at once.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class WordHashes(dict):
@@ -201,11 +201,14 @@ def link_small(sets: DataFrame, percent: int) -> DataFrame:
                 if gid != now:
                     if len(ids) > 1:
                         yield done(ids, rows)
+                        if len(ids) > 1000:
+                            release()
                     now, ids, rows = gid, [], []
                 ids.append(doc)
                 rows.append(np.asarray(s, np.int64))
         if len(ids) > 1:
             yield done(ids, rows)
+        release()
 
     return sets.repartition("gid").sortWithinPartitions("gid").mapInPandas(run, "u long, v long")
 
@@ -290,7 +293,7 @@ def spanning(u: list[int], v: list[int]) -> pd.DataFrame:
     return pd.DataFrame(keep, columns=["u", "v"]).astype("int64")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, side: int = 10, width: int = 2, group_shingles: int = 3_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, side: int = 10, width: int = 2, group_shingles: int = 1_500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| over their

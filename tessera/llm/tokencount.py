@@ -42,7 +42,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANK, ONE_LEFT, TWO_L
 #: Contractions of the splitting rule (fixed values).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Characters of a chunk, and arcs that a worker remembers.
-CHUNK, ARCS = 64, 600_000
+CHUNK, ARCS = 64, 300_000
 #: Bytes beyond which a pre-token is merged with a heap instead of in the batch.
 LONG_BYTES = 96
 
