@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 try:
     _trim = ctypes.CDLL(None).malloc_trim
@@ -38,6 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application, so that they need not have it on their path."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not package.is_dir():
+        return
+    _shipped.add(app)
+    folder = Path(os.path.realpath(tempfile.mkdtemp(prefix="tessera-")))  # the driver serves it to executors as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "tessera.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    kept = sys.path[:]
+    spark.sparkContext.addPyFile(str(archive))
+    sys.path[:] = kept
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, free
+from .common import chunks, free, ship
 
 #: Runs of letters (and letter-like numerals); digits and signs are not words.
 WORD = re.compile(r"[^\W\d_]+")
@@ -272,6 +272,7 @@ def sample(docs: DataFrame, documents: int, windows: int, length: int) -> list[t
 
     The only bounded sample; at most documents * windows * length words a language reach the driver.
     """
+    ship(docs.sparkSession)
     ranked = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= documents).select("doc_id").distinct()
@@ -299,6 +300,7 @@ def train(docs: DataFrame, documents: int = 200, windows: int = 6, length: int =
 
 def language(spark, model: Model):
     """A column function: text to (lang, score, words, switches)."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(model)
     shape = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("switches", T.LongType())])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_CHARS, chunks, free, maybe_broadcast, release, save
+from .common import BATCH_CHARS, chunks, free, maybe_broadcast, release, save, ship
 from .graph import components
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -303,6 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keeps its row, without a component, kept. Rows that repeat an id count as one
     document. Extra columns are ignored; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = save(signatures(docs, words, side, width), "signatures")
     narrow = signed.select("doc_id", "n_shingles", "hi", "lo")

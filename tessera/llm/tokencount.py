@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, ship
 
 #: Input symbols: letter, number, other, white space before white space or the end, last space of a run, other last
 #: white space of a run, apostrophe that begins a contraction of two or of three characters, end of a text.
@@ -300,6 +300,7 @@ class Counter:
 
 def token_count(spark, path: str):
     """A column function: text to (n_bytes, n_tokens). The file is read on the driver; workers get the compiled tables."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(Compiled(path))
 
     @F.pandas_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship
+
 #: Fixed values of the contract: verdict and host rule.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Pattern rules of the method: what usually isn't text worth keeping.
@@ -116,6 +118,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    ship(pages.sparkSession)
     rules = [*(host_rule(v, t) for v, t in host_rules), *map(pattern_rule, patterns)]
     counts = token_counts(rows.select("url"), sorted({t for r in rules for t in r.tokens}))
     out = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict", "pattern")])
