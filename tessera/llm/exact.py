@@ -2,10 +2,10 @@
 
 Canonical form: NFKC, full case folding, NFKC again (ICU, which Spark ships and
 `reflect` calls inside the JVM), runs of white space to one space, trimmed.
-Fingerprint: two differently seeded xxhash64 of the canonical form. Documents
-whose digest is not alone are grouped by it and their canonical bytes compared;
-where a bucket holds different bytes, the fingerprints of its members get the
-SHA-256 of their bytes appended, so equal fingerprints mean equal bytes.
+Fingerprint: two differently seeded xxhash64 of the canonical form. The forms
+of texts whose digest is not alone are grouped by their bytes; where a bucket
+holds different bytes, the fingerprints of its members get the SHA-256 of their
+bytes appended, so equal fingerprints mean equal bytes.
 
 Next documents: ids are cut into ranges by quantiles (a bounded list of
 numbers); each range is one sort, and the topmost document of a range is also
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of ids for each shuffle partition: evens out what hashing deals to a partition.
 RANGES = 4
+#: Stands for a null id where texts are looked up by id.
+NO_ID = -(1 << 63)
 
 
 def icu(cls: str, method: str, text: Column) -> Column:
@@ -46,8 +48,8 @@ def ranges(docs: DataFrame, count: int) -> list[int]:
     return sorted(r.top for r in tops.collect())
 
 
-def in_order(docs: DataFrame, count: int) -> DataFrame:
-    """docs (doc_id, text, mark) with rng, and next_text, next_mark: those of the next document by descending doc_id, after the last the first.
+def in_order(docs: DataFrame, count: int, mark) -> DataFrame:
+    """docs (doc_id, text) with rng, mark (of the text), and next_text, next_mark: those of the next document by descending doc_id, after the last the first.
 
     Rows of one id are ordered by text; null ids stand last.
     """
@@ -69,14 +71,16 @@ def in_order(docs: DataFrame, count: int) -> DataFrame:
     else:  # only null ids, or no rows
         seats = F.concat(seats, F.array(F.struct(F.lit(0).alias("at"), F.lit(2).alias("guest"))))
     dealt = row.withColumn("seat", F.explode(seats)).select(*names, F.col("seat.at").alias("rng"), F.col("seat.guest").alias("guest"))
+    # only ids and texts are dealt, by every use of this table: so there is one exchange, and nothing is shuffled twice
+    marked = dealt.repartition("rng").withColumn("mark", mark(F.col("text")))
     order = Window.partitionBy("rng").orderBy((F.col("guest") == 2).asc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    led = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "mark")})  # plain columns: nothing is shuffled twice
+    led = marked.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "mark")})
     return led.filter("guest = 0").drop("guest")
 
 
-def edited_texts(docs: DataFrame, count: int) -> DataFrame:
+def edited_texts(docs: DataFrame, count: int, mark) -> DataFrame:
     """(rng, doc_id, text, n_chars, edited, mark, next_mark): each text and its copy whose last third is the next document's beginning."""
-    led = in_order(docs, count)
+    led = in_order(docs, count, mark)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
@@ -95,21 +99,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     count = count or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sure = lambda canon: F.struct(digest_of(canon).alias("d"), F.sha2(canon, 256).alias("s"))
-    marked = docs.withColumn("mark", sure(canonical(F.col("text"))))
-    texts = edited_texts(marked, count)
+    sure = lambda canon: F.struct(digest_of(canon).alias("d"), F.unhex(F.sha2(canon, 256)).alias("s"))
+    texts = edited_texts(docs, count, lambda text: sure(canonical(text)))
     rows = texts.select("rng", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "mark", "next_mark", sure(canonical(F.col("edited"))).alias("edited_mark"))
 
-    # buckets with more than one holder, and the documents in them by range
-    held = rows.select("rng", "doc_id", F.explode(F.array("mark.d", "edited_mark.d")).alias("d"))
+    # buckets with more than one holder, and which texts of which documents are in them, by range
+    held = rows.select("rng", "doc_id", F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("mark.d").alias("d")), F.struct(F.lit(True).alias("e"), F.col("edited_mark.d").alias("d")))).alias("h")).select("rng", "doc_id", "h.e", "h.d")
     full = held.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
-    who = held.join(full, "d", "left_semi").groupBy("rng").agg(F.collect_set("doc_id").alias("ids"))
-    # their bytes, compared bucket by bucket: smallest and largest of a bucket differ if any two do
-    compared = texts.join(who, "rng").filter(F.array_contains("ids", F.col("doc_id")) | F.col("doc_id").isNull())
-    canon = compared.select(F.explode(F.array(canonical(F.col("text")), canonical(F.col("edited")))).alias("canon"))
-    mixed = canon.groupBy(digest_of(F.col("canon")).alias("d")).agg(F.min("canon").alias("a"), F.max("canon").alias("b")).filter("a <> b").select("d", F.lit(True).alias("mixed"))
-
-    name = lambda mark, mixed: F.concat(F.lower(F.lpad(F.hex(F.col(f"{mark}.d.h")), 16, "0")), F.lower(F.lpad(F.hex(F.col(f"{mark}.d.l")), 16, "0")), F.when(F.col(mixed), F.concat(F.lit("-"), F.col(f"{mark}.s"))).otherwise(F.lit("")))
+    ids = lambda edited: F.collect_set(F.when(F.col("e") == edited, F.coalesce("doc_id", F.lit(NO_ID))))
+    who = held.join(full, "d", "left_semi").groupBy("rng").agg(ids(False).alias("own_ids"), ids(True).alias("edited_ids"))
+    # their bytes, each different form once: a bucket is mixed if it has more than one
+    shared = lambda name, text: F.when(F.array_contains(name, F.coalesce("doc_id", F.lit(NO_ID))), F.col(text))
+    compared = texts.join(who, "rng").select(F.explode(F.array_compact(F.array(shared("own_ids", "text"), shared("edited_ids", "edited")))).alias("t"))
+    forms = compared.select(canonical(F.col("t")).alias("canon")).groupBy("canon").agg(F.lit(1).alias("one")).select(digest_of(F.col("canon")).alias("d"))
+    mixed = forms.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d", F.lit(True).alias("mixed"))
+
+    name = lambda mark, mixed: F.concat(F.lower(F.lpad(F.hex(F.col(f"{mark}.d.h")), 16, "0")), F.lower(F.lpad(F.hex(F.col(f"{mark}.d.l")), 16, "0")), F.when(F.col(mixed), F.concat(F.lit("-"), F.lower(F.hex(F.col(f"{mark}.s"))))).otherwise(F.lit("")))
     own = mixed.select(F.col("d").alias("own_d"), F.col("mixed").alias("own_mixed"))
     other = mixed.select(F.col("d").alias("other_d"), F.col("mixed").alias("other_mixed"))
     out = rows.join(own, F.col("mark.d") == F.col("own_d"), "left").join(other, F.col("edited_mark.d") == F.col("other_d"), "left")
