@@ -1,12 +1,16 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney trigram model of trusted text.
+"""Quality by the perplexities of interpolated modified Kneser-Ney trigram models of trusted text.
 
-Words are mapped to a fixed number of classes: the most frequent trusted words
+There are two: one over all words, whose tables grow with the trusted text (see
+wordgrams), and one over classes of words, for what words' numbers don't show:
+case, signs and repetitions. A document has to be within the limits of both.
+
+In the model of classes, words are mapped to a fixed number of classes: the most frequent trusted words
 have their own, all others share one by case, length and signs, and a word that
 repeats the one before it is a class of its own. All trusted text is counted:
 tasks combine counts before they are shuffled, and the model's tables come from
 joins of counts, continuation counts and counts of counts, sharded by context.
 As classes are few, the finished model has classes**3 probabilities whatever
-the corpus: a proven bound, so it is broadcast and scoring shuffles nothing.
+the corpus: a proven bound, so it is broadcast and its scoring shuffles nothing.
 
 A document is rejected if its perplexity is beyond the quantiles of its
 language's trusted documents, widened by a margin. As the mean of few words
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import wordgrams
 from .common import chunks, free, maybe_broadcast, release, save, ship
 
 #: Class of what precedes a text, of a repeated word, and of an empty slot.
@@ -288,44 +293,54 @@ def fit(texts: DataFrame, frequent_words: int = 150, low: float = 0.002, high: f
     return model
 
 
-def judge(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang", out: str = "quality") -> DataFrame:
-    """docs with a struct column `out` (words, perplexity, low, high, kept).
+def judge(docs: DataFrame, good: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "quality", folds: int = 5, low: float = 0.002, high: float = 0.998, margin: float = 1.15, low_margin: float = 2.0, slack: float = 4.0, **settings) -> DataFrame:
+    """docs with a struct column `out` (words, perplexity, low, high, kept); good: the trusted ones of them (text, lang).
 
-    Kept: the perplexity is within the limits. Texts without words (null and
-    empty ones too) have no perplexity and are not kept; without a model all
-    others are. Rows are independent: repeats give the same.
+    Kept: the perplexity over words is within its limits, and so is the one
+    over classes. Texts without words (null and empty ones too) have no
+    perplexity and are not kept; without a model all others are. Repeats give
+    the same. The settings are those of fit(), for both models.
     """
     spark = docs.sparkSession
+    both = {"low": low, "high": high, "margin": margin, "low_margin": low_margin, "slack": slack}
+    forms = fit(good, folds=folds, **both, **settings)
+    model = wordgrams.fit(good, folds)
     if model is None:
         none = F.lit(None).cast("double")
         words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
         return docs.withColumn(out, F.struct(words.alias("words"), none.alias("perplexity"), none.alias("low"), none.alias("high"), (words > 0).alias("kept")))
-    lang, least, most, score = free(docs, "_lang", "_low", "_high", "_score")
-    named = [(k, *v) for k, v in model.limits.items() if k is not None]
-    limits = spark.createDataFrame(named, f"{lang} string, {least} double, {most} double")  # a row for each language
-    default = model.limits[None]
-    scored = docs.withColumn(score, perplexity(spark, model)(F.col(text_col))).join(F.broadcast(limits), F.col(lang_col) == F.col(lang), "left")
-    words = F.col(f"{score}.words")
-    allowed = F.lit(model.slack) / F.sqrt(F.greatest(words, F.lit(1)))
-    low, high = F.exp(F.coalesce(least, F.lit(default[0])) - allowed), F.exp(F.least(F.coalesce(most, F.lit(default[1])) + allowed, F.lit(700.0)))
-    p = F.when(words > 0, F.col(f"{score}.perplexity"))
-    kept = F.coalesce(p.between(low, high), F.lit(False))
-    return scored.withColumn(out, F.struct(words.alias("words"), p.alias("perplexity"), low.alias("low"), high.alias("high"), kept.alias("kept"))).drop(score, lang, least, most)
+    by_text = save(wordgrams.perplexities(docs.select(F.col(text_col).alias("text")), model), "perplexities")
+    found = wordgrams.limits(good, by_text, **both)
+    lang, score, key, form, *bound = free(docs, "_lang", "_score", "_key", "_form", "_low", "_high", "_form_low", "_form_high")
+    nothing = {None: (-1e3, 1e3)}
+    classes = forms.limits if forms is not None else nothing
+    named = [(k, *found.get(k, found[None]), *classes.get(k, classes[None])) for k in {*found, *classes} if k is not None]
+    bounds = spark.createDataFrame(named, ", ".join([f"{lang} string", *(f"{b} double" for b in bound)]))  # a row for each language
+    scores = by_text.select(F.col("t").alias(key), F.struct("words", "perplexity").alias(score))
+    scored = docs.withColumn(form, perplexity(spark, forms)(F.col(text_col))["perplexity"] if forms is not None else F.lit(None).cast("double"))
+    scored = scored.join(maybe_broadcast(scores), wordgrams.text_key(F.col(text_col)) == F.col(key), "left").join(F.broadcast(bounds), F.col(lang_col) == F.col(lang), "left")
+    words = F.coalesce(f"{score}.words", F.lit(0).cast("long"))
+    allowed = F.lit(slack) / F.sqrt(F.greatest(words, F.lit(1)))
+    ends = [F.coalesce(b, F.lit(x)) for b, x in zip(bound, (*found[None], *classes[None]), strict=True)]
+    lowest, form_lowest = (F.exp(e - allowed) for e in ends[::2])
+    highest, form_highest = (F.exp(F.least(e + allowed, F.lit(700.0))) for e in ends[1::2])
+    p = F.col(f"{score}.perplexity")
+    kept = (words > 0) & F.coalesce(p.between(lowest, highest), F.lit(True)) & F.coalesce(F.col(form).between(form_lowest, form_highest), F.lit(True))
+    return scored.withColumn(out, F.struct(words.alias("words"), p.alias("perplexity"), lowest.alias("low"), highest.alias("high"), kept.alias("kept"))).drop(score, key, form, lang, *bound)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity, low, high, kept) for each row of docs, by a model of the trusted ones.
+    """(doc_id, lang, n_words, perplexity, low, high, kept) for each row of docs, by models of the trusted ones; perplexity and limits are those over words.
 
-    labels: (doc_id, quality, toxic). Extra columns of both are ignored; see fit() and judge().
+    labels: (doc_id, quality, toxic). Extra columns of both are ignored; see judge().
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    judged = judge(rows, fit(trusted(rows, labels), **settings))
+    judged = judge(rows, trusted(rows, labels), **settings)
     return judged.select("doc_id", "lang", F.col("quality.words").alias("n_words"), *[F.col(f"quality.{k}").alias(k) for k in ("perplexity", "low", "high", "kept")])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """docs (with doc_id, text, lang and any other columns) that are kept."""
-    model = fit(trusted(docs.select("doc_id", "text", "lang"), labels), **settings)
+    good = trusted(docs.select("doc_id", "text", "lang"), labels)
     (name,) = free(docs, "_quality")
-    return judge(docs, model, out=name).filter(F.col(f"{name}.kept")).drop(name)
-
+    return judge(docs, good, out=name, **settings).filter(F.col(f"{name}.kept")).drop(name)

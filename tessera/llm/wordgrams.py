@@ -1,0 +1,226 @@
+"""Interpolated modified Kneser-Ney trigrams over all words of trusted text.
+
+Each word has a 63-bit hash of its own, without regard to case and the
+punctuation around it; a word that repeats the one before it is told apart.
+Tasks combine counts before they are shuffled, and the tables come from joins of
+counts, continuation counts and counts of counts, sharded by context. They grow
+with the trusted text, so none is sent whole to a driver or worker unless it has
+been checked to be small: the documents' trigrams, combined by text, are joined
+with them shard by shard, and each text's logarithms are summed.
+
+Trusted texts are in parts, and each part is scored by a model of all others, so
+counts and limits cover all of them and none is scored with its own counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import chunks, maybe_broadcast, release, save, ship
+
+#: Number of what precedes a text, and of a repeated word; words have larger ones.
+START, REPEAT = 0, 1
+#: Words that a worker remembers.
+CACHE = 200_000
+#: Rows up to which a table of the model may be broadcast.
+TABLE_ROWS = 100_000
+
+
+def hash_of(word: str) -> int:
+    """The number of a word: 63 bits of a hash of its core, or of all of it if it has none."""
+    import xxhash
+
+    from .quality import core
+
+    return max(xxhash.xxh3_64_intdigest((core(word) or word).encode("utf-8", "surrogatepass")) >> 1, REPEAT + 1)
+
+
+class Words:
+    """Numbers of words; a worker's memory of them."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all words end to end, two starts before each text, as contexts and as what follows them, and how many each text has with the starts.
+
+        Only what follows can be a repetition, so a run of repetitions is as
+        unlikely throughout as it is at its beginning.
+        """
+        if len(self.known) > CACHE:
+            self.known.clear()
+        parts = [["", "", *t.split()] for t in texts]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = [w for p in parts for w in p]
+        slot = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        for i in np.flatnonzero(slot < 0).tolist():
+            w = flat[i]
+            if w not in self.known:
+                self.known[w] = hash_of(w) if w else START
+            slot[i] = self.known[w]
+        same = np.zeros(len(slot), bool)
+        same[1:] = slot[1:] == slot[:-1]
+        return slot, np.where(same & (slot != START), REPEAT, slot), count
+
+
+def trigrams(before: np.ndarray, after: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trigrams that end at each word, and how many each text has."""
+    within = np.ones(len(before), bool)
+    first = np.cumsum(count) - count
+    within[first] = within[first + 1] = False
+    keep = within[2:]
+    return before[:-2][keep], before[1:-1][keep], after[2:][keep], count - 2
+
+
+def combined(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(at, append=len(order))
+
+
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """(f, a, b, c, n): how often each trigram occurs in the texts (f, text) of each part."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, held, rows = Words(), [], 0
+
+        def out() -> pd.DataFrame:
+            columns, n = combined(*map(np.concatenate, zip(*held, strict=True)))
+            held.clear()
+            return pd.DataFrame({**dict(zip("fabc", columns, strict=True)), "n": n})
+
+        for batch in batches:
+            for at, part in chunks(batch["text"]):
+                *abc, count = trigrams(*words.numbers(part))
+                held.append([np.repeat(batch["f"].to_numpy()[at : at + len(part)], count), *abc])
+                rows += len(abc[0])
+                if rows > 500_000:
+                    yield out()
+                    rows = 0
+        if held:
+            yield out()
+        release()
+
+    return texts.select("f", "text").mapInPandas(run, "f long, a long, b long, c long, n long").groupBy("f", "a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def text_trigrams(texts: DataFrame) -> DataFrame:
+    """(t, a, b, c, n): the trigrams of texts (t, text), combined within a task's batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for batch in batches:
+            for at, part in chunks(batch["text"]):
+                a, b, c, count = trigrams(*words.numbers(part))
+                (t, a, b, c), n = combined(np.repeat(batch["t"].to_numpy()[at : at + len(part)], count), a, b, c)
+                yield pd.DataFrame({"t": t, "a": a, "b": b, "c": c, "n": n})
+
+    return texts.select("t", "text").mapInPandas(run, "t long, a long, b long, c long, n long")
+
+
+def discounts(counts: DataFrame, n: str) -> DataFrame:
+    """(f, d1, d2, d3): modified Kneser-Ney discounts of counts of one, two, and three or more, from the counts of counts."""
+    rows = []
+    for r in counts.groupBy("f").agg(*[F.count(F.when(F.col(n) == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect():  # a row for each part
+        y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 else 0.5
+        each = [k - (k + 1) * y * r[f"n{k + 1}"] / r[f"n{k}"] if r[f"n{k}"] else k / 2 for k in (1, 2, 3)]
+        rows.append((r.f, *(float(min(max(d, 0.05), k - 0.05)) for d, k in zip(each, (1, 2, 3), strict=True))))
+    return counts.sparkSession.createDataFrame(rows, "f long, d1 double, d2 double, d3 double")
+
+
+def smoothed(counts: DataFrame, context: list[str], n: str) -> tuple[DataFrame, DataFrame]:
+    """counts with `own`, the discounted share of n in its context; and the context's `back`, the weight of the lower order. A join sharded by context."""
+    off = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
+    cut = counts.join(F.broadcast(discounts(counts, n)), "f").withColumn("off", off)
+    totals = cut.groupBy(*context).agg(F.sum(n).alias("total"), F.sum("off").alias("taken"))
+    own = cut.join(totals, context).select(*counts.columns, ((F.col(n) - F.col("off")) / F.col("total")).alias("own"))
+    return own, totals.select(*context, (F.col("taken") / F.col("total")).alias("back"))
+
+
+class Model:
+    """The tables of discounted shares and weights: a model for each part f of the texts."""
+
+    def __init__(self, counts: DataFrame, size: int | None = None, folds: int = 1):
+        """counts: (f, a, b, c, n) from the shared folder; size: words there are, by default all that occur and one for those that don't."""
+        self.folds = folds
+        pairs = save(counts.groupBy("f", "b", "c").agg(F.count("*").alias("n")), "pairs")  # contexts that a pair continues
+        single = save(pairs.groupBy("f", "c").agg(F.count("*").alias("n")), "single")
+        sizes = {r.f: size or r.n + 1 for r in single.groupBy("f").agg(F.count("*").alias("n")).collect()}  # a row for each part
+        own1, back1 = smoothed(single, ["f"], "n")
+        self.base = counts.sparkSession.createDataFrame([(r.f, r.back / sizes[r.f]) for r in back1.collect()], "f long, base double")
+        own3, back3 = smoothed(counts, ["f", "a", "b"], "n")
+        own2, back2 = smoothed(pairs, ["f", "b"], "n")
+        tables = {"own3": (own3, "abc"), "back3": (back3, "ab"), "own2": (own2, "bc"), "back2": (back2, "b"), "own1": (own1, "c")}
+        self.tables = {name: (["f", *keys], save(df.select("f", *keys, F.col(name[:-1]).alias(name)), name)) for name, (df, keys) in tables.items()}
+
+    def probability(self, rows: DataFrame) -> DataFrame:
+        """rows (f, a, b, c and others) with `p`, the interpolated probability of c after a, b in the model of f; null if there is none.
+
+        Joins sharded by context; only tables checked to be small are broadcast.
+        """
+        for keys, table in self.tables.values():
+            rows = rows.join(maybe_broadcast(table, TABLE_ROWS), keys, "left")
+        own = [F.coalesce(F.col(f"own{k}"), F.lit(0.0)) for k in (1, 2, 3)]
+        back = [F.coalesce(F.col(f"back{k}"), F.lit(1.0)) for k in (2, 3)]
+        p = own[2] + back[1] * (own[1] + back[0] * (own[0] + F.col("base")))
+        return rows.join(F.broadcast(self.base), "f", "left").withColumn("p", p).drop("base", *self.tables)
+
+
+def text_key(text) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def perplexities(texts: DataFrame, model: Model) -> DataFrame:
+    """(t, words, perplexity) for each distinct text (column text) that has words; t is its text_key. No perplexity where its part has no model."""
+    ship(texts.sparkSession)
+    keyed = texts.select(text_key(F.col("text")).alias("t"), "text")
+    rows = text_trigrams(keyed).withColumn("f", F.pmod("t", F.lit(model.folds)))
+    total = F.sum("n")
+    # each copy has one trigram after two starts, so repeated texts count once
+    copies = F.sum(F.when(F.col("b") == START, F.col("n")))
+    return model.probability(rows).groupBy("t").agg((total / copies).cast("long").alias("words"), F.exp(-F.sum(F.col("n") * F.log("p")) / total).alias("perplexity"))
+
+
+def fit(texts: DataFrame, folds: int = 5) -> Model | None:
+    """Models of trusted texts (column text); None if there is no trusted word.
+
+    Texts are in `folds` parts by a hash (so copies stay together), and each
+    part has a model of all the others: no text, trusted or not, is scored with
+    counts of its own, as texts that a model has seen are likelier.
+    """
+    ship(texts.sparkSession)
+    texts = texts.select(F.pmod(text_key(F.col("text")), F.lit(folds)).alias("f"), "text")
+    counts = save(trigram_counts(texts), "trigrams")
+    if counts.isEmpty():
+        return None
+    others = F.explode(F.expr(f"filter(sequence(0L, {folds - 1}L), x -> x <> f)"))
+    return Model(save(counts.select(others.alias("f"), "a", "b", "c", "n").groupBy("f", "a", "b", "c").agg(F.sum("n").alias("n")), "others"), folds=folds)
+
+
+def limits(texts: DataFrame, by_text: DataFrame, low: float, high: float, margin: float, low_margin: float, slack: float) -> dict[str | None, tuple[float, float]]:
+    """Per language the logarithms within which documents are kept, from all trusted texts (text, lang) and their perplexities.
+
+    A language's `low` and `high` quantiles of its trusted documents' log
+    perplexity, plus and less the allowance for few words, widened by the
+    factors `low_margin` and `margin`; those of all trusted documents serve
+    languages without any.
+    """
+    out = {}
+    allowed, p = F.lit(slack) / F.sqrt("words"), F.log("perplexity")
+    rows = texts.select("lang", text_key(F.col("text")).alias("t")).join(maybe_broadcast(by_text), "t").filter("perplexity is not null")
+    scored = save(rows.select("lang", (p + allowed).alias("l"), (p - allowed).alias("h")), "trusted")
+    cut = F.struct(F.percentile_approx("l", low, 10_000).alias("l"), F.percentile_approx("h", high, 10_000).alias("h")).alias("cut")
+    for r in [*scored.groupBy("lang").agg(cut).collect(), scored.agg(F.lit(None).cast("string").alias("lang"), cut).first()]:  # a row for each language
+        out[r.lang] = (-1e3, 1e3) if r.cut.l is None else (r.cut.l - float(np.log(low_margin)), r.cut.h + float(np.log(margin)))  # nothing is beyond where no text was scored
+    return out

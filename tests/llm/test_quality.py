@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import quality, wordgrams
 
 
 def plain(counts, size):
@@ -109,3 +109,30 @@ def test_without_trusted_text(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.kept for r in quality.classify(df, none).collect()} == {1: True, 2: False}
     assert quality.classify(df.limit(0), none).collect() == []
+
+
+def test_shuffled_words_are_junk_and_every_part_is_held_out(spark):
+    rng = random.Random(11)
+    common, rare = (["".join(rng.choices("aeioulmnrst", k=6)) for _ in range(n)] for n in (160, 500))
+    partner = dict(zip(rare, rng.sample(rare, len(rare)), strict=True))
+
+    def text(second):
+        return " ".join(f"{rng.choice(common)} {x} {second(x)}" for x in rng.choices(rare, k=50))
+
+    rows = [(i, text(partner.get), "aa") for i in range(200)] + [(200 + i, text(lambda x: rng.choice(rare)), "aa") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(df, marks).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 198 and not any(got[i].kept for i in range(200, 240))
+    mean = lambda ids: sum(math.log(got[i].perplexity) for i in ids) / len(ids)
+    assert abs(mean(range(150)) - mean(range(150, 200))) < 0.1  # texts that are trusted are not likelier
+
+
+def test_word_joins_equal_the_formulas(spark):
+    rng = random.Random(3)
+    counts = Counter((rng.randrange(3), min(rng.randrange(8), rng.randrange(8)), min(rng.randrange(8), rng.randrange(8))) for _ in range(400))
+    df = spark.createDataFrame([(0, *k, n) for k, n in counts.items()], "f long, a long, b long, c long, n long")
+    every = spark.createDataFrame([(0, a, b, c) for a in range(8) for b in range(8) for c in range(8)], "f long, a long, b long, c long")
+    p3 = plain(counts, 8)
+    for r in wordgrams.Model(df, 8).probability(every).collect():
+        assert abs(r.p - p3(r.a, r.b, r.c)) < 1e-9
