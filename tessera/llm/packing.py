@@ -15,8 +15,8 @@
 
 from __future__ import annotations
 
+import heapq
 import re
-import time
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -162,29 +162,61 @@ def best_fit(lengths: dict[int, int], capacity: int) -> Counter:
     return done
 
 
-def local_search(bins: Counter, capacity: int, seconds: float = 20.0) -> Counter:
+def local_search(bins: Counter, capacity: int) -> Counter:
     """Fewer bins where moves and exchanges between underfull bins can empty some.
 
     The least filled bin gives to fuller ones: a piece moves where it fits,
     else a piece is exchanged for a shorter one, else for two that together are
     shorter, or two of its pieces for one. Each step makes a fuller bin fuller,
-    so the sum of squared fills grows and the search ends; `seconds` bounds the
-    time spent on improving, not what is packed.
+    so the sum of squared fills grows and the search ends by itself. An exchange
+    is done in as many pairs of bins of the two patterns as there are, so the
+    steps depend on the patterns and hardly on how many bins have them.
     """
     full = Counter({p: m for p, m in bins.items() if sum(p) == capacity})
-    open_ = Counter({p: m for p, m in bins.items() if sum(p) < capacity})
-    least = -(-sum(sum(p) * m for p, m in open_.items()) // capacity)
-    stop = time.monotonic() + seconds
-    stuck: set[tuple[int, ...]] = set()
-
-    def put(pattern: tuple[int, ...]) -> None:
-        if pattern:
-            (full if sum(pattern) == capacity else open_)[tuple(sorted(pattern, reverse=True))] += 1
+    open_: Counter = Counter()
+    # by how many pieces come back, their sum and the room, then the sum: patterns and the pieces
+    index: list[dict[int, dict[int, dict]]] = [{}, {}, {}]
+    volume = 0
+
+    def parts(pattern: tuple[int, ...]) -> dict[tuple[int, int], tuple[int, ...]]:
+        """Up to two pieces by their number and sum."""
+        out = {(0, 0): ()}
+        for x, n in (held := Counter(pattern)).items():
+            out[1, x] = (x,)
+            for y in held:
+                if y < x or (y == x and n > 1):
+                    out.setdefault((2, x + y), (x, y))
+        return out
 
-    def take(pattern: tuple[int, ...]) -> None:
-        open_[pattern] -= 1
-        if not open_[pattern]:
-            del open_[pattern]
+    def put(pattern: tuple[int, ...], many: int) -> None:
+        nonlocal volume
+        if not pattern:
+            return
+        pattern, fill = tuple(sorted(pattern, reverse=True)), sum(pattern)
+        if fill == capacity:
+            full[pattern] += many
+            return
+        volume += fill * many
+        if pattern not in open_:
+            for (k, back), pieces in parts(pattern).items():
+                index[k].setdefault(back + capacity - fill, {}).setdefault(back, {})[pattern] = pieces
+        open_[pattern] += many
+
+    def take(pattern: tuple[int, ...], many: int) -> None:
+        nonlocal volume
+        fill = sum(pattern)
+        volume -= fill * many
+        open_[pattern] -= many
+        if open_[pattern]:
+            return
+        del open_[pattern]
+        for k, back in parts(pattern):
+            by = index[k][back + capacity - fill]
+            del by[back][pattern]
+            if not by[back]:
+                del by[back]
+            if not by:
+                del index[k][back + capacity - fill]
 
     def swap(pattern: tuple[int, ...], out: tuple[int, ...], into: tuple[int, ...]) -> tuple[int, ...]:
         rest = list(pattern)
@@ -193,42 +225,48 @@ def local_search(bins: Counter, capacity: int, seconds: float = 20.0) -> Counter
         return (*rest, *into)
 
     def step(low: tuple[int, ...]) -> bool:
-        """One exchange from low to a bin at least as full; the one that fills best."""
+        """One exchange from low to a bin at least as full, the one that leaves least room there, in all pairs of such bins."""
         best, mine = None, sum(low)
-        gives = {(x,) for x in low} | {(low[i], low[j]) for i in range(len(low)) for j in range(i + 1, len(low))}
-        for other, many in open_.items():
-            fill = sum(other)
-            if fill < mine or (other == low and many < 2):
+        for (given, total), give in parts(low).items():
+            if not given:
                 continue
-            room = capacity - fill
-            backs: set[tuple[int, ...]] = {()} | {(y,) for y in other} | {(other[i], other[j]) for i in range(len(other)) for j in range(i + 1, len(other))}
-            for give in gives:
-                for back in backs:
-                    if len(give) + len(back) > 3 or (len(give) == 2 and not back):
-                        continue
-                    gain = sum(give) - sum(back)
-                    if 0 < gain <= room and (best is None or fill + gain > best[0]):
-                        best = (fill + gain, other, give, back)
-            if best and best[0] == capacity:
-                break
+            for k in (0, 1, 2) if given == 1 else (1,):
+                for most in range(total, capacity if best is None else min(capacity, total + best[0] - 1) + 1):
+                    found = next(
+                        (
+                            (most - total, other, give, back)
+                            for sum_, of in index[k].get(most, {}).items()
+                            if sum_ < total
+                            for other, back in of.items()
+                            if capacity - (most - sum_) >= mine and (other != low or open_[low] > 1)
+                        ),
+                        None,
+                    )
+                    if found:
+                        best = found
+                        break
         if best is None:
             return False
         _, other, give, back = best
-        take(low)
-        take(other)
-        put(swap(low, give, back))
-        put(swap(other, back, give))
+        many = open_[low] // 2 if other == low else min(open_[low], open_[other])
+        take(low, many)
+        take(other, many)
+        put(swap(low, give, back), many)
+        put(swap(other, back, give), many)
         return True
 
-    while sum(open_.values()) > least and time.monotonic() < stop:
-        rest = [p for p in open_ if p not in stuck]
-        if not rest:
-            break
-        low = min(rest, key=lambda p: (sum(p), p))
-        if step(low):
-            stuck.clear()
-        else:
-            stuck.add(low)
+    for pattern, many in bins.items():
+        if sum(pattern) < capacity:
+            put(pattern, many)
+    better = True
+    while better:  # passes over the patterns from the least filled, until one changes nothing
+        better = False
+        waiting = [(sum(p), p) for p in open_]
+        heapq.heapify(waiting)
+        while waiting and sum(open_.values()) > -(-volume // capacity):
+            low = heapq.heappop(waiting)[1]
+            while low in open_ and step(low):
+                better = True
     return full + open_
 
 

@@ -111,3 +111,9 @@ def test_local_search_keeps_every_piece(seed):
         assert low == ranks[length]
         ranks[length] = high + 1
     assert ranks == lengths
+
+
+@pytest.mark.parametrize("n", [60, 6_000_000])
+def test_local_search_ends_by_itself_at_any_size(n):
+    then = packing.local_search(packing.best_fit({400: n, 312: 2 * n}, 1024), 1024)
+    assert then == {(400, 312, 312): n}
