@@ -93,8 +93,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, index_rows: i
     ends = plain.filter(end).select("doc_id", "fp", "n_words", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("window_id"))
     near = plain.filter(~end).select("doc_id", "fp", "n_words", "pos", "key").join(index, "key").filter((start >= 0) & (start + F.size("window_words") <= F.col("n_words")))
     near = near.select("doc_id", "fp", start.alias("start"), "window_id").distinct()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("fp"), native_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).dropDuplicates(["doc_id", "fp"])
-    sure = near.join(index.select("window_id", "window_words"), "window_id").join(texts, ["doc_id", "fp"]).filter(verified(F.col("start")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("fp"), native_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words")).dropDuplicates(["doc_id", "fp"]).withColumnsRenamed({"doc_id": "t_doc", "fp": "t_fp"})
+    same = F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("fp") == F.col("t_fp"))
+    sure = near.join(index.select("window_id", "window_words"), "window_id").join(texts, same).filter(verified(F.col("start")))
     return ends.unionByName(sure.select("doc_id", "fp", "n_words", "start", F.size("window_words").alias("length"), "window_id"))
 
 
@@ -109,6 +110,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Extra columns are ignored; with no documents the result is empty, with no
     items nothing is hit.
     """
+    return by_text(docs, items, id_col, text_col, item_id_col, item_text_col, window, shingle, share, index_rows).drop("fp")
+
+
+def by_text(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = 3, share: int = 20, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """contamination() with fp, the hash of the text, as rows of one id can have several."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     cut = save(item_windows(items, window).distinct(), "windows")
@@ -131,6 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
+        ends.fp.alias("fp"),
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(items_).cast("long").alias("n_items"),
@@ -140,6 +147,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """docs with all its columns, without the contaminated documents."""
-    bad = save(contamination(docs, items, **settings).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias(name := free(docs, "_bad")[0])).distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if small(bad) else bad, F.col("doc_id") == F.col(name), "left_anti")
+    """docs with all its columns, without the contaminated documents; those with a null id are told by their text, as are those that share an id."""
+    key, mark = free(docs, "_bad", "_bad_text")
+    bad = by_text(docs, items, **settings).filter("contaminated").select(F.col("doc_id").alias(key), F.col("fp").alias(mark))
+    bad = save(bad.distinct(), "contaminated")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(mark))
+    return docs.join(F.broadcast(bad) if small(bad) else bad, same, "left_anti")

@@ -70,3 +70,13 @@ def test_contaminated_documents_are_dropped(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s"), (3, None, "s")], "doc_id long, text string, source string")
     kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("index_rows", [200_000, 0])
+def test_documents_without_id_are_hit_and_dropped(spark, index_rows):
+    docs = spark.createDataFrame([(None, "a b"), (None, "c"), (1, "a b"), (1, "d")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = decontaminate.contamination(docs, items, index_rows=index_rows).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == [("1", 1, 0), ("1", 2, 2), ("None", 1, 0), ("None", 2, 2)]
+    kept = decontaminate.drop_contaminated(docs, items, index_rows=index_rows)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "d"), ("None", "c")]
