@@ -16,11 +16,9 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,71 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, maybe_broadcast, save, ship
+from .encoder import BATCH, Encoder
 from .tokencount import Compiled
-from .tokencount import Counter as Machine
-
-#: Segments whose tokens a worker remembers.
-CACHE = 250_000
-
-
-class Encoder:
-    """The ids that the tokenizer's library gives for whole texts, remembered for segments that begin at a single space.
-
-    A space before a character that isn't white space always begins a
-    pre-token, so the parts before and after it are tokenised apart; new parts
-    go through the compiled tokenizer together.
-    """
-
-    #: Such spaces; Python's white space includes the library's.
-    split = re.compile(r" (?=\S)")
-
-    def __init__(self, compiled: Compiled):
-        self.machine = Machine(compiled)
-        self.special = compiled.special
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.clear()
-
-    def clear(self) -> None:
-        """Forgets the segments but for the special strings, which are never parts of others."""
-        self.slots = {s: i for i, s in enumerate(self.special)}
-        self.flat = np.array([*self.special.values()], np.uint32)
-        self.sizes, self.begin = np.ones(len(self.flat), np.int64), np.arange(len(self.flat))
-
-    def slot(self, segments: list[str]) -> np.ndarray:
-        """Numbers of the segments; new ones are tokenised together."""
-        out = np.fromiter(map(self.slots.get, segments, repeat(-1)), np.int64, len(segments))
-        missing = np.flatnonzero(out < 0).tolist()
-        if missing:
-            fresh = list({segments[i] for i in missing})
-            self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh)), strict=True))
-            out[missing] = [self.slots[segments[i]] for i in missing]
-            ids, size = self.machine.encode(fresh)
-            self.flat = np.concatenate((self.flat, ids.astype(np.uint32)))
-            self.sizes = np.concatenate((self.sizes, size))
-            self.begin = np.cumsum(self.sizes) - self.sizes
-        return out
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, `end` after each, and each text's number of ids."""
-        if len(self.slots) > CACHE:
-            self.clear()
-        segments: list[str] = []
-        count = np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            before = len(segments)
-            for part in self.cut.split(t) if any(s in t for s in self.special) else (t,):
-                first, *rest = self.split.split(part)
-                segments.append(first)
-                segments += [" " + r for r in rest]
-            count[i] = len(segments) - before
-        slot = self.slot(segments) if segments else np.empty(0, np.int64)
-        size = self.sizes[slot] if len(slot) else slot
-        total = np.concatenate(([0], np.cumsum(size)))
-        bound = np.concatenate(([0], np.cumsum(count)))
-        each = total[bound[1:]] - total[bound[:-1]]
-        place = np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(self.begin[slot] if len(slot) else slot, size)
-        ids = self.flat[place]
-        return np.insert(ids, np.cumsum(each), np.uint32(end)), each + 1
 
 
 def pieces(docs: DataFrame, compiled: Compiled, capacity: int, end: int) -> DataFrame:
@@ -108,7 +43,7 @@ def pieces(docs: DataFrame, compiled: Compiled, capacity: int, end: int) -> Data
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             docs = batch["doc_id"]
-            for at, texts in chunks(batch["text"]):
+            for at, texts in chunks(batch["text"], BATCH):
                 ids, size = encoder.encode(texts, end)
                 parts = -(-size // capacity)
                 doc = np.repeat(np.arange(len(texts)), parts)

@@ -41,6 +41,8 @@ LETTER, NUMBER, OTHER, BLANK, SPACE, LAST, SHORT, LONG, STOP = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANK, ONE_LEFT, TWO_LEFT = range(8)
 #: Contractions of the splitting rule (fixed values).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: The splitting rule (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a chunk, and arcs that a worker remembers.
 CHUNK, ARCS = 64, 300_000
 #: Bytes beyond which a pre-token is merged with a heap instead of in the batch.
@@ -88,6 +90,20 @@ def character_classes(tokenizer) -> np.ndarray:
     return out
 
 
+def rank_classes() -> np.ndarray:
+    """character_classes() as the library that takes ranks has them."""
+    from tiktoken import Encoding
+
+    out = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for symbol, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (LAST, r"\s+")):
+        alone = Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        out[np.frombuffer(bytes(alone.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = symbol
+    out[0xD800:0xE000] = OTHER
+    out[ord(" ")] = SPACE
+    return out
+
+
 def byte_letters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one from 256."""
     plain = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -118,6 +134,15 @@ class Compiled:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("only plain special strings can be compiled")
         self.classes = character_classes(Tokenizer.from_file(path))
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        self.vocabulary = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        self.apart = "".join(map(chr, np.flatnonzero(self.classes != rank_classes()).tolist()))
+
+    def by_rank(self):
+        """The same splitting rule and merges for a library that takes the vocabulary as ranks."""
+        from tiktoken import Encoding
+
+        return Encoding("own", pat_str=SPLIT, mergeable_ranks=self.vocabulary, special_tokens={})
 
 
 class Counter:

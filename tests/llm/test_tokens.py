@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, tokencount
+from tessera.llm import encoder, packing, tokencount
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["<|endoftext|>", "<|", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'v", "a", "be", "Z", "é", "ß", "1", "23", "²", "!", "...", "\xa0", "　", "日本", "😀", "'S", " '", "\r\n", "\x1c", "_", "-", "ʼ", "՘", " ", "٣", "\x85", "\U0001c5e1"]
@@ -35,11 +35,22 @@ def test_counts_and_ids_are_the_librarys(library, compiled):
     some = texts()
     want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
     assert tokencount.Counter(compiled).counts(some).tolist() == [len(x) for x in want]
-    ids, size = packing.Encoder(compiled).encode(some, 2)
+    ids, size = encoder.Encoder(compiled).encode(some, 2)
     cut = np.cumsum(size)
     assert [ids[b - n : b].tolist() for b, n in zip(cut, size, strict=True)] == [[*x, 2] for x in want]
 
 
+def test_long_runs_and_characters_apart_are_the_librarys(library, compiled, monkeypatch):
+    some = [" " * 2_000_000 + "x", "\n" * 300_000, "a" * 30_000, "x " + "!" * 20_000 + " y", "日本" * 9000]
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    ids, size = encoder.Encoder(compiled).encode(some, 2)
+    assert size.tolist() == [len(x) + 1 for x in want] and ids.tolist() == [i for x in want for i in (*x, 2)]
+    monkeypatch.setattr(compiled, "apart", "é1")
+    some = texts(11, 500)
+    ids, _ = encoder.Encoder(compiled).encode(some, 2)
+    assert ids.tolist() == [i for e in library.encode_batch(some, add_special_tokens=False) for i in (*e.ids, 2)]
+
+
 def test_forgetting_changes_nothing(compiled, monkeypatch):
     some = texts(5, 300)
     want = tokencount.Counter(compiled).counts(some).tolist()
@@ -113,6 +124,12 @@ def test_local_search_keeps_every_piece(seed):
     assert ranks == lengths
 
 
+def test_local_search_empties_bins_that_best_fit_leaves():
+    lengths = Counter(np.random.default_rng(0).integers(260, 500, 3000).tolist())
+    first = packing.best_fit(lengths, 1024)
+    assert sum(packing.local_search(first, 1024).values()) <= 0.98 * sum(first.values())
+
+
 @pytest.mark.parametrize("n", [60, 6_000_000])
 def test_local_search_ends_by_itself_at_any_size(n):
     then = packing.local_search(packing.best_fit({400: n, 312: 2 * n}, 1024), 1024)
