@@ -1,346 +1,114 @@
-"""Quality by the perplexities of interpolated modified Kneser-Ney trigram models of trusted text.
-
-There are two: one over all words, whose tables grow with the trusted text (see
-wordgrams), and one over classes of words, for what words' numbers don't show:
-case, signs and repetitions. A document has to be within the limits of both.
-
-In the model of classes, words are mapped to a fixed number of classes: the most frequent trusted words
-have their own, all others share one by case, length and signs, and a word that
-repeats the one before it is a class of its own. All trusted text is counted:
-tasks combine counts before they are shuffled, and the model's tables come from
-joins of counts, continuation counts and counts of counts, sharded by context.
-As classes are few, the finished model has classes**3 probabilities whatever
-the corpus: a proven bound, so it is broadcast and its scoring shuffles nothing.
-
-A document is rejected if its perplexity is beyond the quantiles of its
-language's trusted documents, widened by a margin. As the mean of few words
-varies more, all logarithms are taken after an allowance of slack / sqrt(words).
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text (see ngrams).
+
+A text's mean negative logarithm is compared with those of its language's
+trusted documents. As the mean of few tokens varies more, it is expressed in
+standard deviations, which are estimated from the trusted documents by their
+length: the variance of tokens within a document, divided by their number, and
+that between documents. A document is rejected beyond quantiles of its
+language's trusted documents, widened by a share of their distance.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from . import wordgrams
-from .common import chunks, free, maybe_broadcast, release, save, ship
-
-#: Class of what precedes a text, of a repeated word, and of an empty slot.
-START, REPEAT = 0, 1
-#: First class of shapes; before them are the special classes, after them the frequent words.
-SHAPES = 2
-#: Lengths up to which word lengths have shapes of their own.
-LENGTHS = 14
-#: Words that a worker remembers or counts before it hands counts on.
-CACHE = 200_000
-
-#: A word with at most an ending of sentence punctuation or quotes around it.
-PLAIN = re.compile(r"[\"'(\[¿¡«„“‚‘]*([^\W_]+(?:['’\-][^\W_]+)*)[.,;:!?…\"')\]»“”’]*")
-
-
-def core(word: str) -> str | None:
-    """The word without the punctuation around it, in lower case; None if it has other signs."""
-    m = PLAIN.fullmatch(word)
-    return m.group(1).lower() if m and not word.endswith(("!!", "??")) else None
-
-
-def shape(word: str) -> int:
-    """Number of the shape of a word: signs only, signs within or after, numbers, capitals, or plain letters by length."""
-    if not any(map(str.isalnum, word)):
-        return 0
-    inner = PLAIN.fullmatch(word)
-    if not inner or word.endswith(("!!", "??")):
-        return 1
-    letters = inner.group(1)
-    if any(map(str.isdigit, letters)):
-        return 2
-    if letters.isupper() and len(letters) > 1:
-        return 3
-    return 3 + min(len(letters), LENGTHS) + (LENGTHS if letters[:1].isupper() else 0)
-
-
-#: Shapes there are.
-SHAPE_COUNT = 4 + 2 * LENGTHS
-
-
-class Words:
-    """Classes of words; a worker's memory of them."""
-
-    def __init__(self, frequent: list[str]):
-        self.own = {w: SHAPES + SHAPE_COUNT + i for i, w in enumerate(frequent)}
-        self.size = SHAPES + SHAPE_COUNT + len(frequent)
-        self.known: dict[str, int] = {}
-
-    def class_of(self, word: str) -> int:
-        return self.own.get(core(word) or "", SHAPES + shape(word))
-
-    def classes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of all words end to end, two starts before each text, as contexts and as what follows them, and how many each text has with the starts.
-
-        Only what follows can be a repetition, so a run of repetitions is as
-        unlikely throughout as it is at its beginning.
-        """
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parts = [["", "", *t.split()] for t in texts]
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = [w for p in parts for w in p]
-        slot = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        for i in np.flatnonzero(slot < 0).tolist():
-            w = flat[i]
-            if w not in self.known:
-                self.known[w] = (self.class_of(w) if w else START) | (hash_of(w) << 16)
-            slot[i] = self.known[w]
-        same = np.zeros(len(slot), bool)
-        same[1:] = slot[1:] == slot[:-1]
-        before = slot & 0xFFFF
-        return before, np.where(same & (before != START), REPEAT, before), count
-
-
-def hash_of(word: str) -> int:
-    """Tells words of one class apart."""
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 18
-
-
-def trigrams(before: np.ndarray, after: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the trigrams that end at each word, and how many each text has."""
-    key = (before[:-2] * size + before[1:-1]) * size + after[2:]
-    within = np.ones(len(before), bool)
-    first = np.cumsum(count) - count
-    within[first] = within[first + 1] = False
-    return key[within[2:]], count - 2
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): how often each word occurs in all texts (column text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+from . import ngrams
+from .common import free, maybe_broadcast, save
+from .tokencount import Compiled
 
-        def out() -> pd.DataFrame:
-            by: Counter = Counter()
-            for w, n in seen.items():
-                if (c := core(w)) is not None:
-                    by[c] += n
-            seen.clear()
-            return pd.DataFrame({"word": pd.Series([*by], dtype=object), "n": np.array([*by.values()], np.int64)})
+#: Vocabulary file whose tokens are counted, unless another is given.
+VOCABULARY = "byte_bpe_50k.json"
 
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update((text or "").split())
-                if len(seen) > CACHE:
-                    yield out()
-        yield out()
-        release()
 
-    return texts.select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def vocabulary(path: str | None) -> ngrams.Vocabulary:
+    if path is None:
+        import public_tokenizers
 
+        path = public_tokenizers.path(VOCABULARY)
+    return ngrams.Vocabulary(Compiled(path))
 
-def trigram_counts(texts: DataFrame, frequent: list[str]) -> DataFrame:
-    """(a, b, c, n): how often each class trigram occurs in all texts (column text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(frequent)
-        size, held, rows = words.size, [], 0
+def good_ids(labels: DataFrame, name: str) -> DataFrame:
+    """Ids whose every label says good quality and not toxic."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0 and doc_id is not null").select(F.col("doc_id").alias(name))
 
-        def out() -> pd.DataFrame:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
-            held.clear()
-            return pd.DataFrame({"a": (keys // size // size).astype(np.int32), "b": (keys // size % size).astype(np.int32), "c": (keys % size).astype(np.int32), "n": n})
 
-        for batch in batches:
-            for _, part in chunks(batch["text"]):
-                keys, n = np.unique(trigrams(*words.classes(part), size)[0], return_counts=True)
-                held.append((keys, n))
-                rows += len(keys)
-                if rows > 500_000:
-                    yield out()
-                    rows = 0
-        if held:
-            yield out()
-        release()
+def deviation(tokens: Column) -> Column:
+    """Standard deviation of the mean of so many tokens."""
+    return F.sqrt(F.col("between") + F.col("within") / tokens)
 
-    return texts.select("text").mapInPandas(run, "a int, b int, c int, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
 
+def limits(scored: DataFrame, low: float, high: float, widen: float) -> DataFrame:
+    """(lang, centre, within, between, low, high) from trusted documents (lang, tokens, mean, variance): a row for each language, and one of all documents with a null lang.
 
-def discounts(counts: DataFrame, n: str) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of counts of one, two, and three or more, from the counts of counts."""
-    r = counts.agg(*[F.count(F.when(F.col(n) == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 else 0.5
-    each = [k - (k + 1) * y * r[f"n{k + 1}"] / r[f"n{k}"] if r[f"n{k}"] else k / 2 for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(each, (1, 2, 3), strict=True))
-
-
-def smoothed(counts: DataFrame, context: list[str], n: str) -> tuple[DataFrame, DataFrame]:
-    """counts with `own`, the discounted share of n in its context; and the context's `back`, the weight of the lower order. A join sharded by context."""
-    d = discounts(counts, n)
-    off = F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-    totals = counts.groupBy(*context).agg(F.sum(n).alias("total"), F.sum(off).alias("taken")) if context else counts.agg(F.sum(n).alias("total"), F.sum(off).alias("taken"))
-    joined = counts.join(totals, context) if context else counts.crossJoin(F.broadcast(totals))  # one row
-    own = joined.select(*counts.columns, ((F.col(n) - off) / F.col("total")).alias("own"))
-    return own, totals.select(*context, (F.col("taken") / F.col("total")).alias("back"))
-
-
-class Model:
-    """Log probabilities of all class trigrams, and per language the perplexities within which documents are kept."""
-
-    def __init__(self, frequent: list[str], table: np.ndarray):
-        self.frequent, self.table = frequent, table
-        self.limits: dict[str | None, tuple[float, float]] = {}
-        self.slack = 0.0
-
-
-def fit_table(counts: DataFrame, size: int) -> np.ndarray:
-    """Interpolated log probabilities of c after a, b as a flat table; counts: (a, b, c, n) from the shared folder."""
-    pairs = save(counts.groupBy("b", "c").agg(F.count("*").alias("n")), "pairs")  # contexts that a pair continues
-    single = save(pairs.groupBy("c").agg(F.count("*").alias("n")), "single")
-    own3, back3 = smoothed(counts, ["a", "b"], "n")
-    own2, back2 = smoothed(pairs, ["b"], "n")
-    own1, back1 = smoothed(single, [], "n")
-    # at most size, size**2 and size**3 rows
-    p1 = np.full(size, float(back1.first().back) / size)
-    for r in own1.collect():
-        p1[r.c] += r.own
-    p1 /= p1.sum()
-    x, b2 = own2.select("b", "c", "own").toArrow().to_pandas(), back2.toArrow().to_pandas()
-    weight2 = np.ones(size)
-    weight2[b2["b"]] = b2["back"]
-    p2 = weight2[:, None] * p1[None, :]
-    p2[x["b"], x["c"]] += x["own"]
-    y = own3.select(((F.col("a") * size + F.col("b")) * size + F.col("c")).cast("int").alias("key"), F.col("own").cast("float").alias("own")).toArrow()
-    b3 = back3.toArrow().to_pandas()
-    weight3 = np.ones((size, size), np.float32)
-    weight3[b3["a"], b3["b"]] = b3["back"]
-    p3 = (weight3[:, :, None] * p2.astype(np.float32)[None, :, :]).ravel()
-    for part in y.to_batches():
-        p3[part.column("key").to_numpy()] += part.column("own").to_numpy()
-    np.maximum(p3, np.float32(1e-12), out=p3)
-    return np.log(p3, out=p3)
-
-
-def perplexity(spark, model: Model):
-    """A column function: text to (words, perplexity); a text without words has 0 and none."""
-    ship(spark)
-    sent = spark.sparkContext.broadcast((model.frequent, model.table))
-    out = T.StructType([T.StructField("words", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-
-    @F.pandas_udf(out)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        frequent, table = sent.value
-        words = Words(frequent)
-        for batch in batches:
-            n, p = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, texts in chunks(batch):
-                key, count = trigrams(*words.classes(texts), words.size)
-                total = np.concatenate(([0.0], np.cumsum(table[key], dtype=np.float64)))
-                end = np.cumsum(count)
-                n.append(count)
-                p.append(np.exp(-(total[end] - total[end - count]) / np.maximum(count, 1)))
-            n, p = np.concatenate(n), np.concatenate(p)
-            yield pd.DataFrame({"words": n, "perplexity": np.where(n > 0, p, np.nan)})
-
-    return score.asNondeterministic()
-
-
-def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose every label says good quality and not toxic."""
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0 and doc_id is not null").select(F.col("doc_id").alias(name := free(docs, "_good")[0]))
-    return docs.join(maybe_broadcast(save(good, "good")), F.col("doc_id") == F.col(name), "left_semi")
-
-
-def fit(texts: DataFrame, frequent_words: int = 150, low: float = 0.002, high: float = 0.998, margin: float = 1.15, low_margin: float = 2.0, slack: float = 4.0, folds: int = 5) -> Model | None:
-    """A model of trusted texts (text, lang); None if there is no trusted word.
-
-    One of `folds` parts by a hash of the text (so copies stay together) sets
-    the limits and is not counted: texts that the model has seen are likelier.
-    Limits: a language's `low` and `high` quantiles of its trusted documents'
-    log perplexity, plus and less the allowance for few words, widened by the
-    factors `low_margin` (texts that were counted are likelier) and `margin`;
-    those of all trusted documents serve languages without any.
-    """
-    spark = texts.sparkSession
-    ship(spark)
-    calibrates = F.pmod(F.xxhash64("text"), F.lit(folds)) == 0
-    texts, apart = texts.filter(~calibrates), texts.filter(calibrates)
-    top = save(word_counts(texts), "words").orderBy(F.desc("n"), "word").limit(frequent_words).collect()
-    frequent = [r.word for r in top]
-    size = Words(frequent).size
-    counts = save(trigram_counts(texts, frequent), "trigrams")
-    if counts.isEmpty():
-        return None
-    model = Model(frequent, fit_table(counts, size))
-    model.slack = slack
-    allowed = F.lit(slack) / F.sqrt("s.words")
-    p = F.log("s.perplexity")
-    scored = save(apart.select("lang", perplexity(spark, model)(F.col("text")).alias("s")).filter("s.words > 0").select("lang", (p + allowed).alias("l"), (p - allowed).alias("h")), "trusted")
-    cut = F.struct(F.percentile_approx("l", low, 10_000).alias("l"), F.percentile_approx("h", high, 10_000).alias("h")).alias("cut")
-    for r in [*scored.groupBy("lang").agg(cut).collect(), scored.agg(F.lit(None).cast("string").alias("lang"), cut).first()]:  # a row for each language
-        if r.cut.l is None:  # no text was set apart: nothing is beyond
-            model.limits[r.lang] = (-1e3, 1e3)
-            continue
-        model.limits[r.lang] = (r.cut.l - float(np.log(low_margin)), r.cut.h + float(np.log(margin)))
-    return model
-
-
-def judge(docs: DataFrame, good: DataFrame, text_col: str = "text", lang_col: str = "lang", out: str = "quality", folds: int = 5, low: float = 0.002, high: float = 0.998, margin: float = 1.15, low_margin: float = 2.0, slack: float = 4.0, **settings) -> DataFrame:
-    """docs with a struct column `out` (words, perplexity, low, high, kept); good: the trusted ones of them (text, lang).
-
-    Kept: the perplexity over words is within its limits, and so is the one
-    over classes. Texts without words (null and empty ones too) have no
-    perplexity and are not kept; without a model all others are. Repeats give
-    the same. The settings are those of fit(), for both models.
+    low and high are quantiles in standard deviations, `widen` times their distance further out.
     """
-    spark = docs.sparkSession
-    both = {"low": low, "high": high, "margin": margin, "low_margin": low_margin, "slack": slack}
-    forms = fit(good, folds=folds, **both, **settings)
-    model = wordgrams.fit(good, folds)
-    if model is None:
-        none = F.lit(None).cast("double")
-        words = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
-        return docs.withColumn(out, F.struct(words.alias("words"), none.alias("perplexity"), none.alias("low"), none.alias("high"), (words > 0).alias("kept")))
-    by_text = save(wordgrams.perplexities(docs.select(F.col(text_col).alias("text")), model), "perplexities")
-    found = wordgrams.limits(good, by_text, **both)
-    lang, score, key, form, *bound = free(docs, "_lang", "_score", "_key", "_form", "_low", "_high", "_form_low", "_form_high")
-    nothing = {None: (-1e3, 1e3)}
-    classes = forms.limits if forms is not None else nothing
-    named = [(k, *found.get(k, found[None]), *classes.get(k, classes[None])) for k in {*found, *classes} if k is not None]
-    bounds = spark.createDataFrame(named, ", ".join([f"{lang} string", *(f"{b} double" for b in bound)]))  # a row for each language
-    scores = by_text.select(F.col("t").alias(key), F.struct("words", "perplexity").alias(score))
-    scored = docs.withColumn(form, perplexity(spark, forms)(F.col(text_col))["perplexity"] if forms is not None else F.lit(None).cast("double"))
-    scored = scored.join(maybe_broadcast(scores), wordgrams.text_key(F.col(text_col)) == F.col(key), "left").join(F.broadcast(bounds), F.col(lang_col) == F.col(lang), "left")
-    words = F.coalesce(f"{score}.words", F.lit(0).cast("long"))
-    allowed = F.lit(slack) / F.sqrt(F.greatest(words, F.lit(1)))
-    ends = [F.coalesce(b, F.lit(x)) for b, x in zip(bound, (*found[None], *classes[None]), strict=True)]
-    lowest, form_lowest = (F.exp(e - allowed) for e in ends[::2])
-    highest, form_highest = (F.exp(F.least(e + allowed, F.lit(700.0))) for e in ends[1::2])
-    p = F.col(f"{score}.perplexity")
-    kept = (words > 0) & F.coalesce(p.between(lowest, highest), F.lit(True)) & F.coalesce(F.col(form).between(form_lowest, form_highest), F.lit(True))
-    return scored.withColumn(out, F.struct(words.alias("words"), p.alias("perplexity"), lowest.alias("low"), highest.alias("high"), kept.alias("kept"))).drop(score, key, form, lang, *bound)
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **settings) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity, low, high, kept) for each row of docs, by models of the trusted ones; perplexity and limits are those over words.
-
-    labels: (doc_id, quality, toxic). Extra columns of both are ignored; see judge().
+    every = F.when(F.col("lang").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array("lang", F.lit(None).cast("string")))
+    rows = scored.filter("tokens > 0 and mean is not null").select(F.explode(every).alias("lang"), "tokens", "mean", "variance")
+    per = rows.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 10_000).alias("centre"), (F.sum(F.col("variance") * F.col("tokens")) / F.sum("tokens")).alias("within"))
+    beside = lambda table, of: table.join(maybe_broadcast(of.withColumnRenamed("lang", "of")), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+    rows = beside(rows, save(per, "centres"))
+    weight = F.sqrt("tokens")
+    extra = F.pow(F.col("mean") - F.col("centre"), 2) - F.col("within") / F.col("tokens")
+    spread = rows.groupBy("lang").agg(F.greatest(F.sum(weight * extra) / F.sum(weight), F.lit(1e-6)).alias("between"))
+    rows = beside(rows, save(spread, "spreads"))
+    z = (F.col("mean") - F.col("centre")) / deviation(F.col("tokens"))
+    cut = rows.groupBy("lang").agg(*[F.first(c).alias(c) for c in ("centre", "within", "between")], F.percentile_approx(z, [low, high], 10_000).alias("q"))
+    q = [F.col("q")[k] for k in (0, 1)]
+    return cut.select("lang", "centre", "within", "between", (q[0] - widen * (q[1] - q[0])).alias("low"), (q[1] + widen * (q[1] - q[0])).alias("high"))
+
+
+def judged(scored: DataFrame, bounds: DataFrame, score: str, lang_col: str, out: str) -> DataFrame:
+    """scored, whose column `score` has (tokens, mean), with a struct column `out` (tokens, perplexity, low, high, kept); bounds: those of limits(), saved."""
+    names = ["centre", "within", "between", "low", "high"]
+    lang, own, all_ = free(scored, "_lang", "_own", "_all")
+    table = bounds.select(F.col("lang").alias(lang), F.struct(*names).alias(own)).filter(F.col(lang).isNotNull())
+    both = scored.join(maybe_broadcast(table), F.col(lang_col) == F.col(lang), "left")
+    rest = bounds.filter("lang is null").first()
+    every = F.struct(*[F.lit(rest[n] if rest else None).cast("double").alias(n) for n in names])
+    both = both.withColumn(own, F.coalesce(own, every))
+    n = F.greatest(F.col(f"{score}.tokens"), F.lit(1))
+    sd = F.sqrt(F.col(f"{own}.between") + F.col(f"{own}.within") / n)
+    ends = [F.exp(F.least(F.col(f"{own}.centre") + F.col(f"{own}.{k}") * sd, F.lit(700.0))) for k in ("low", "high")]
+    p = F.exp(F.col(f"{score}.mean"))
+    kept = (F.col(f"{score}.tokens") > 0) & F.coalesce(p.between(*ends), F.lit(True))
+    return both.withColumn(out, F.struct(F.col(f"{score}.tokens").alias("tokens"), p.alias("perplexity"), ends[0].alias("low"), ends[1].alias("high"), kept.alias("kept"))).drop(lang, own)
+
+
+def classify(docs: DataFrame, labels: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = 0.002, high: float = 0.998, widen: float = 0.25, table_rows: int = ngrams.TABLE_ROWS) -> DataFrame:
+    """(doc_id, lang, n_tokens, perplexity, low, high, kept) for each row of docs, by models of the trusted ones.
+
+    Trusted: every label of the id says good quality and not toxic; labels:
+    (doc_id, quality, toxic). path: the vocabulary. Kept: the perplexity is
+    within the limits of the language; those of all trusted documents serve a
+    null language and one without any. Null and empty texts, and those of white
+    space only, have no tokens and no perplexity and are not kept. Where there
+    is no model (no trusted text in the other half) there is no perplexity, and
+    all other texts are kept. Whole texts are scored, of any length. Rows are
+    independent: repeats give the same, ids that repeat with different texts
+    each give theirs. Extra columns are ignored; an empty table gives an empty
+    result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    judged = judge(rows, trusted(rows, labels), **settings)
-    return judged.select("doc_id", "lang", F.col("quality.words").alias("n_words"), *[F.col(f"quality.{k}").alias(k) for k in ("perplexity", "low", "high", "kept")])
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """docs (with doc_id, text, lang and any other columns) that are kept."""
-    good = trusted(docs.select("doc_id", "text", "lang"), labels)
-    (name,) = free(docs, "_quality")
-    return judge(docs, good, out=name, **settings).filter(F.col(f"{name}.kept")).drop(name)
+    good = save(good_ids(labels, "good"), "good")
+    trusted = lambda table: table.join(maybe_broadcast(good), F.col("doc_id") == F.col("good"), "left_semi")
+    words = vocabulary(path)
+    model = ngrams.fit(trusted(rows), words)
+    scored = save(ngrams.scores(rows, model, words, "text", "s", table_rows).select("doc_id", "lang", "s"), "scored")  # narrow
+    bounds = save(limits(trusted(scored).select("lang", "s.*"), low, high, widen), "limits")
+    out = judged(scored, bounds, "s", "lang", "j")
+    return out.select("doc_id", "lang", F.col("j.tokens").alias("n_tokens"), *[F.col(f"j.{k}").alias(k) for k in ("perplexity", "low", "high", "kept")])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, path: str | None = None, low: float = 0.002, high: float = 0.998, widen: float = 0.25, table_rows: int = ngrams.TABLE_ROWS) -> DataFrame:
+    """docs (with doc_id, text, lang and any other columns) that classify() keeps. Only trusted texts are scored twice: for the limits and here."""
+    name, score, verdict = free(docs, "_good", "_score", "_quality")
+    good = save(good_ids(labels, name), "good")
+    trusted = docs.select("doc_id", "text", "lang").join(maybe_broadcast(good), F.col("doc_id") == F.col(name), "left_semi")
+    words = vocabulary(path)
+    model = ngrams.fit(trusted, words)
+    seen = ngrams.scores(trusted, model, words, "text", "s", table_rows).select("lang", "s.*")
+    bounds = save(limits(save(seen, "trusted"), low, high, widen), "limits")
+    out = judged(ngrams.scores(docs, model, words, "text", score, table_rows), bounds, score, "lang", verdict)
+    return out.filter(F.col(f"{verdict}.kept")).drop(score, verdict)

@@ -1,17 +1,22 @@
-"""The Kneser-Ney model against a plain version, and what it keeps."""
+"""The Kneser-Ney model against a plain version of all of it, and what it keeps."""
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
-import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tessera.llm import quality, wordgrams
+from tessera.llm import ngrams, quality
 
+START, REPEAT = 50257, 50258
 
-def plain(counts, size):
-    """Interpolated modified Kneser-Ney by the formulas; counts: {(a, b, c): n}."""
+
+def plain_model(counts, size):
+    """Probability of c after b by the formulas of interpolated modified Kneser-Ney; counts: {(b, c): n}."""
 
     def cut(values):
         n = Counter(values)
@@ -19,63 +24,75 @@ def plain(counts, size):
         d = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k / 2 for k in (1, 2, 3)]
         return [min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True)]
 
-    pairs = Counter((b, c) for _, b, c in counts)
-    single = Counter(c for _, c in pairs)
-    d3, d2, d1 = cut(counts.values()), cut(pairs.values()), cut(single.values())
-    off = lambda d, n: d[min(n, 3) - 1]
+    off = lambda d, n: d[min(n, 3) - 1] if n else 0
+    single = Counter(c for _, c in counts)
+    d2, d1 = cut(counts.values()), cut(single.values())
     total1 = sum(single.values())
-    back1 = sum(off(d1, n) for n in single.values()) / total1
-    p1 = np.array([(max(single[c] - off(d1, single[c]), 0) / total1 if single[c] else 0) + back1 / size for c in range(size)])
-    p1 /= p1.sum()
-    by2, by3 = defaultdict(dict), defaultdict(dict)
-    for (b, c), n in pairs.items():
-        by2[b][c] = n
-    for (a, b, c), n in counts.items():
-        by3[a, b][c] = n
-
-    def p2(b, c):
-        if b not in by2:
-            return p1[c]
-        t = sum(by2[b].values())
-        n = by2[b].get(c, 0)
-        return (n - off(d2, n) if n else 0) / t + sum(off(d2, m) for m in by2[b].values()) / t * p1[c]
-
-    def p3(a, b, c):
-        if (a, b) not in by3:
-            return p2(b, c)
-        t = sum(by3[a, b].values())
-        n = by3[a, b].get(c, 0)
-        return (n - off(d3, n) if n else 0) / t + sum(off(d3, m) for m in by3[a, b].values()) / t * p2(b, c)
-
-    return p3
-
-
-def test_table_equals_the_formulas(spark):
+    after = defaultdict(dict)
+    for (b, c), n in counts.items():
+        after[b][c] = n
+
+    def p(b, c):
+        p1 = (single[c] - off(d1, single[c])) / total1 + sum(off(d1, n) for n in single.values()) / total1 / size
+        if b not in after:
+            return p1
+        t = sum(after[b].values())
+        n = after[b].get(c, 0)
+        return (n - off(d2, n)) / t + sum(off(d2, m) for m in after[b].values()) / t * p1
+
+    return p
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.fixture(scope="module")
+def words():
+    return quality.vocabulary(None)
+
+
+def plain_bigrams(library, text):
+    out, before, last = [], START, None
+    for k, segment in enumerate(re.split(r" (?=\S)", text or "") if (text or "").strip() else []):
+        segment = " " + segment if k else segment
+        ids = library.encode(segment, add_special_tokens=False).ids
+        if segment == last:
+            out.append((before, REPEAT))
+        else:
+            for i in ids:
+                out.append((before, i))
+                before = i
+        before, last = ids[-1] if ids else before, segment
+    return out
+
+
+def test_model_equals_the_formulas(spark, words):
     rng = random.Random(3)
-    counts = Counter((rng.randrange(3), min(rng.randrange(8), rng.randrange(8)), min(rng.randrange(8), rng.randrange(8))) for _ in range(400))
-    df = spark.createDataFrame([(*k, n) for k, n in counts.items()], "a int, b int, c int, n long")
-    table = np.exp(quality.fit_table(df, 8)).reshape(8, 8, 8)
-    p3 = plain(counts, 8)
-    for a in range(8):
-        for b in range(8):
-            assert abs(table[a, b].sum() - 1) < 1e-3
-            for c in range(8):
-                assert abs(table[a, b, c] - p3(a, b, c)) < 1e-5
-
-
-def test_counts_cover_all_trusted_text(spark):
-    rows = [("The cat, the dog.",), (None,), ("",), ("the the the cat",)]
-    df = spark.createDataFrame(rows, "text string").repartition(3)
-    assert {r.word: r.n for r in quality.word_counts(df).collect()} == {"the": 5, "cat": 2, "dog": 1}
-    words = quality.Words(["the", "cat"])
-    the, cat = words.own["the"], words.own["cat"]
-    got = {(r.a, r.b, r.c): r.n for r in quality.trigram_counts(df, ["the", "cat"]).collect()}
-    assert sum(got.values()) == 8
-    assert got[0, 0, the] == 2 and got[the, the, quality.REPEAT] == 1 and got[0, the, quality.REPEAT] == 1 and got[the, the, cat] == 1
-
-
-def corpus():
-    rng = random.Random(5)
+    counts = Counter((rng.randrange(4), min(rng.randrange(9), rng.randrange(9))) for _ in range(200))
+    df = spark.createDataFrame([(0, *k, n) for k, n in counts.items()], "f int, b int, c int, n long")
+    every = spark.createDataFrame([(0, b, c) for b in range(6) for c in range(9)], "f int, b int, c int")
+    p, model = plain_model(counts, 9), ngrams.Model(df, 9)
+    assert all(abs(sum(p(b, c) for c in range(9)) - 1) < 1e-9 for b in range(6))
+    tables = ngrams.Tables(model, words)
+    import numpy as np
+
+    for r in model.probability(every).collect():
+        assert abs(r.p - p(r.b, r.c)) < 1e-9
+        assert abs(math.exp(tables.logarithms(np.array([0]), np.array([r.b]), np.array([r.c]))[0]) - p(r.b, r.c)) < 1e-6
+
+
+def test_counts_cover_all_trusted_text(spark, library, words):
+    texts = ["The cat, the dog.", None, "", " \n ", "the the the cat", "a  b\tb b b <|endoftext|> x", "é é", " lead lead"]
+    df = spark.createDataFrame([(0, t) for t in texts], "f int, text string").repartition(3)
+    got = {(r.b, r.c): r.n for r in ngrams.counts(df, words).collect()}
+    assert got == Counter(x for t in texts for x in plain_bigrams(library, t))
+    assert sum(n for (_, c), n in got.items() if c == REPEAT) == 3
+
+
+def corpus(seed=5):
+    rng = random.Random(seed)
     common, rare = ["the", "of", "and", "to"], ["".join(rng.choices("aeioulmnrst", k=rng.randrange(3, 9))) for _ in range(300)]
     good = lambda n: " ".join(rng.choice(common if i % 2 else rare) for i in range(n)) + "."
     bad = [lambda n: " ".join([rng.choice(rare)] * n), lambda n: " ".join(rng.choice(rare) + "%%%" for _ in range(n)), lambda n: " | ".join(rng.choices(rare, k=n))]
@@ -88,30 +105,74 @@ def corpus():
     return rows, labels
 
 
+def test_everything_equals_a_plain_version(spark, library):
+    rows, labels = corpus(9)
+    rows += [(500, None, "aa"), (501, "new words", None), (502, rows[0][1], "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    halves = {r.doc_id: r.h for r in df.select("doc_id", ngrams.half(F.col("text")).alias("h")).collect()}
+    trusted = {i for i, q, t in labels if q and not t}
+    pairs = {i: plain_bigrams(library, t) for i, t, _ in rows}
+    size = REPEAT
+    models = [plain_model(Counter(x for i in trusted if halves[i] != h for x in pairs[i]), size) for h in (0, 1)]
+    lost = {i: [-math.log(models[halves[i]](*x)) for x in pairs[i]] for i in pairs}
+    mean = {i: sum(v) / len(v) for i, v in lost.items() if v}
+    var = {i: sum((x - mean[i]) ** 2 for x in lost[i]) / len(lost[i]) for i in mean}
+    nth = lambda values, q: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+    bounds = {}
+    for lang in ("aa", "bb", None):
+        of = [i for i, _, x in rows if i in trusted and (lang is None or x == lang)]
+        centre = nth([mean[i] for i in of], 0.5)
+        n = {i: len(lost[i]) for i in of}
+        within = sum(var[i] * n[i] for i in of) / sum(n.values())
+        weight = {i: math.sqrt(n[i]) for i in of}
+        between = max(sum(weight[i] * ((mean[i] - centre) ** 2 - within / n[i]) for i in of) / sum(weight.values()), 1e-6)
+        z = [(mean[i] - centre) / math.sqrt(between + within / n[i]) for i in of]
+        a, b = nth(z, 0.002), nth(z, 0.998)
+        bounds[lang] = (centre, within, between, a - 0.25 * (b - a), b + 0.25 * (b - a))
+    for table_rows in (ngrams.TABLE_ROWS, 0):  # by arrays, and by joins
+        got = {r.doc_id: r for r in quality.classify(df, marks, table_rows=table_rows).collect()}
+        assert len(got) == len(rows)
+        for i, _, lang in rows:
+            r = got[i]
+            assert r.n_tokens == len(lost[i])
+            if i not in mean:
+                assert r.perplexity is None and not r.kept
+                continue
+            centre, within, between, a, b = bounds.get(lang, bounds[None])
+            sd = math.sqrt(between + within / len(lost[i]))
+            for ours, theirs in ((r.perplexity, mean[i]), (r.low, centre + a * sd), (r.high, centre + b * sd)):
+                assert abs(math.log(ours) - theirs) < 1e-4
+            assert r.kept == (r.low <= r.perplexity <= r.high)
+
+
 def test_junk_goes_and_the_rest_stays(spark):
     rows, labels = corpus()
     truth = {i for i, t, _ in rows if t.endswith(".") and "%" not in t}
-    rows += [(900, None, "aa"), (901, "", None), (902, rows[min(truth)][1], None), (903, rows[min(truth)][1], "zz")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"quality": F.lit(1), "_lang": F.lit("x")})
-    marks = spark.createDataFrame([*labels, (0, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows += [(900, None, "aa"), (901, "", None), (902, rows[min(truth)][1], None), (903, rows[min(truth)][1], "zz"), (904, " \n\t ", "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"s": F.lit(1), "_lang": F.lit("x"), "_quality": F.lit(2)})
+    marks = spark.createDataFrame([*labels, (0, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
     got = {r.doc_id: r for r in quality.classify(df, marks).collect()}
     assert len(got) == len(rows)
     junk = [i for i, _, _ in rows if i < 900 and i not in truth]
     assert sum(got[i].kept for i in truth) >= 0.98 * len(truth) and not any(got[i].kept for i in junk)
-    assert not got[900].kept and got[900].perplexity is None and not got[901].kept
+    assert not any(got[i].kept for i in (900, 901, 904)) and got[900].perplexity is None
     assert got[902].kept and got[903].kept and math.isclose(got[902].perplexity, got[min(truth)].perplexity)
     kept = quality.keep_good(df, marks)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got.values())
+    by_joins = quality.keep_good(df, marks, table_rows=0)
+    assert by_joins.columns == df.columns and sorted(r.doc_id for r in by_joins.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
 def test_without_trusted_text(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (2, " ", "x")], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.kept for r in quality.classify(df, none).collect()} == {1: True, 2: False}
+    assert {r.doc_id: r.kept for r in quality.classify(df, none, table_rows=0).collect()} == {1: True, 2: False}
     assert quality.classify(df.limit(0), none).collect() == []
 
 
-def test_shuffled_words_are_junk_and_every_part_is_held_out(spark):
+def test_shuffled_words_are_junk_and_every_text_is_held_out(spark):
     rng = random.Random(11)
     common, rare = (["".join(rng.choices("aeioulmnrst", k=6)) for _ in range(n)] for n in (160, 500))
     partner = dict(zip(rare, rng.sample(rare, len(rare)), strict=True))
@@ -119,20 +180,10 @@ def test_shuffled_words_are_junk_and_every_part_is_held_out(spark):
     def text(second):
         return " ".join(f"{rng.choice(common)} {x} {second(x)}" for x in rng.choices(rare, k=50))
 
-    rows = [(i, text(partner.get), "aa") for i in range(200)] + [(200 + i, text(lambda x: rng.choice(rare)), "aa") for i in range(40)]
+    rows = [(i, text(partner.get), "aa") for i in range(200)] + [(200 + i, text(lambda x: "".join(rng.sample(x, len(x)))), "aa") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.classify(df, marks).collect()}
     assert sum(got[i].kept for i in range(200)) >= 198 and not any(got[i].kept for i in range(200, 240))
     mean = lambda ids: sum(math.log(got[i].perplexity) for i in ids) / len(ids)
     assert abs(mean(range(150)) - mean(range(150, 200))) < 0.1  # texts that are trusted are not likelier
-
-
-def test_word_joins_equal_the_formulas(spark):
-    rng = random.Random(3)
-    counts = Counter((rng.randrange(3), min(rng.randrange(8), rng.randrange(8)), min(rng.randrange(8), rng.randrange(8))) for _ in range(400))
-    df = spark.createDataFrame([(0, *k, n) for k, n in counts.items()], "f long, a long, b long, c long, n long")
-    every = spark.createDataFrame([(0, a, b, c) for a in range(8) for b in range(8) for c in range(8)], "f long, a long, b long, c long")
-    p3 = plain(counts, 8)
-    for r in wordgrams.Model(df, 8).probability(every).collect():
-        assert abs(r.p - p3(r.a, r.b, r.c)) < 1e-9
