@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, exact, langid, licenses, neardup, packing, quality, tokencount, toolcalls, urlfilter
 
@@ -49,8 +50,9 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no tool messages of its own, so every turn is made one (see toolcalls.from_turns)."""
-    return toolcalls.link(toolcalls.from_turns(read(spark, sf_dir, "conversations")), toolcalls.TURN_TOOLS)
+    """The table has no tool messages of its own, so every turn is made one (see toolcalls.from_turns). Faults are joined by semicolons."""
+    linked = toolcalls.link(toolcalls.from_turns(read(spark, sf_dir, "conversations")), toolcalls.TURN_TOOLS)
+    return linked.withColumn("faults", F.array_join("faults", ";"))
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +109,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id, min(y) = doc_id AS kept
         FROM (SELECT x AS doc_id, y, n.n FROM reach LEFT JOIN n ON x = n.doc_id) t GROUP BY doc_id
     """,
+    # what from_turns() makes of the table, by its rules; each call there needs one other at most, so a level is the weight of one path
+    "op8_tool_calls": """
+        WITH RECURSIVE t AS (SELECT conv_id, turn, role, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS q, ((7 * conv_id + turn) % 13 + 13) % 13 AS k FROM conversations),
+        calls AS (SELECT conv_id, turn, 'c' || CASE WHEN role = 'user' AND k = 4 AND turn >= 2 THEN turn - 2 ELSE turn END AS call_id,
+                         CASE WHEN role = 'user' AND k = 6 THEN 'guess' WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name,
+                         CASE WHEN role = 'user' AND k <> 5 THEN CASE WHEN k = 3 THEN turn + 2 WHEN k = 7 THEN turn WHEN turn >= 2 THEN turn - 2 END END AS refer, k, role, q
+                  FROM t WHERE role IS DISTINCT FROM 'assistant'),
+        made AS (SELECT *, CASE WHEN role = 'user' AND k = 5 THEN q WHEN role = 'user' THEN '{' || coalesce('"context":"{{c' || refer || '}}",', '') || CASE WHEN k = 2 THEN '"guess":true,' ELSE '' END ||
+                                     CASE WHEN k <> 1 THEN '"text":' || q || ',' ELSE '' END || '"turn":' || CASE WHEN k = 0 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END || '}'
+                                ELSE '{"text":' || q || '}' END AS args,
+                           CASE WHEN role IS DISTINCT FROM 'user' THEN '' WHEN k = 0 THEN 'type of turn' WHEN k = 1 THEN 'missing text' WHEN k = 2 THEN 'unknown guess' WHEN k = 5 THEN 'not JSON' WHEN k = 6 THEN 'unknown tool' ELSE '' END AS faults FROM calls),
+        first AS (SELECT conv_id, call_id, min(turn) AS turn, arg_min(name, turn) AS name FROM made GROUP BY conv_id, call_id),
+        needs AS (SELECT f.conv_id, f.call_id, f.turn, m.refer FROM first f JOIN made m USING (conv_id, call_id, turn)),
+        walk(conv_id, call_id, place, refer, w, steps) AS (
+            SELECT conv_id, call_id, turn, refer, 0, 0 FROM needs
+            UNION ALL
+            SELECT a.conv_id, a.call_id, n.turn, n.refer, a.w + CASE WHEN n.turn >= a.place THEN 1 ELSE 0 END, a.steps + 1
+            FROM walk a JOIN needs n ON n.conv_id = a.conv_id AND n.call_id = 'c' || a.refer WHERE a.steps < 200),
+        level AS (SELECT conv_id, call_id, CASE WHEN max(steps) < 200 THEN max(w) END AS level FROM walk GROUP BY conv_id, call_id),
+        results AS (SELECT conv_id, turn, CASE WHEN k = 9 THEN 'none' ELSE 'c' || (turn - 1) END AS call_id, q FROM t WHERE role = 'assistant'),
+        answer AS (SELECT f.conv_id, f.call_id, min(r.turn) AS result_turn FROM results r JOIN first f USING (conv_id, call_id) WHERE r.turn > f.turn GROUP BY f.conv_id, f.call_id)
+        SELECT m.conv_id, m.call_id, m.name, 'call' AS kind, CASE WHEN m.turn = f.turn THEN CAST(l.level AS BIGINT) END AS level, m.turn, 0 AS nth, CASE WHEN m.turn = f.turn THEN a.result_turn END AS result_turn,
+               CASE WHEN m.turn <> f.turn THEN 'repeated' WHEN l.level IS NULL THEN 'circular' WHEN a.result_turn IS NULL THEN 'open' ELSE 'answered' END AS status, m.faults,
+               '{"arguments":' || m.args || ',"id":"' || m.call_id || '","name":"' || m.name || '"}' AS json
+        FROM made m JOIN first f USING (conv_id, call_id) JOIN level l USING (conv_id, call_id) LEFT JOIN answer a USING (conv_id, call_id)
+        UNION ALL
+        SELECT r.conv_id, r.call_id, f.name, 'result', CASE WHEN r.turn = a.result_turn THEN CAST(l.level AS BIGINT) END, CASE WHEN r.turn = a.result_turn THEN f.turn ELSE r.turn END, 0, r.turn,
+               CASE WHEN r.turn = a.result_turn THEN 'linked' WHEN r.turn > f.turn THEN 'repeated' ELSE 'orphan' END, '', '{"content":' || r.q || ',"tool_call_id":"' || r.call_id || '"}'
+        FROM results r LEFT JOIN first f USING (conv_id, call_id) LEFT JOIN level l USING (conv_id, call_id) LEFT JOIN answer a USING (conv_id, call_id)
+    """,
     # the pattern rules, one after another, are the method's; host rules come first, the longest of them
     "op9_url_rules": f"""
         WITH cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

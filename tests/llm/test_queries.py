@@ -29,7 +29,7 @@ def test_every_operator_has_one_query():
 def test_matches_duckdb(spark, name):
     con = duckdb.connect()
     con.sql("SET enable_progress_bar = false")
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     got = queries.QUERIES[name](spark, DATA)
     want = con.sql(queries.ORACLE_SQL[name])
