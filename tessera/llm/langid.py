@@ -105,13 +105,17 @@ class Model:
 
 
 def marginals(emission: np.ndarray, trans: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Probability of each label at each step; count: steps of each sequence, whose emissions stand end to end.
+    """Probability of each label at each step; count: steps of each sequence, whose emissions stand end to end."""
+    forward, backward = messages(emission, trans, count)
+    out = forward * backward
+    return out / out.sum(axis=1, keepdims=True)
 
-    Before the first step all labels are as likely.
-    """
+
+def messages(emission: np.ndarray, trans: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages at each step, each up to a factor. A sequence's first step has no transition: all labels are as likely before it."""
     n, labels = emission.shape
     if not n:
-        return np.zeros((0, labels))
+        return np.zeros((0, labels)), np.zeros((0, labels))
     per = -(-count // BLOCK)
     blocks = int(per.sum())
     first_block = np.cumsum(per) - per
@@ -129,7 +133,10 @@ def marginals(emission: np.ndarray, trans: np.ndarray, count: np.ndarray) -> np.
 
     product = np.broadcast_to(np.eye(labels, dtype=np.float32), (blocks, labels, labels)).copy()
     for k in range(BLOCK):
-        moved = (product.reshape(-1, labels) @ t).reshape(blocks, labels, labels) * e[k][:, None, :]
+        moved = (product.reshape(-1, labels) @ t).reshape(blocks, labels, labels)
+        if not k:
+            moved[first_block] = product[first_block]
+        moved *= e[k][:, None, :]
         moved /= moved.max(axis=(1, 2), keepdims=True)
         product = moved if whole[k] else np.where(real[k][:, None, None], moved, product)
 
@@ -150,18 +157,28 @@ def marginals(emission: np.ndarray, trans: np.ndarray, count: np.ndarray) -> np.
     alpha = np.empty((BLOCK, blocks, labels), np.float32)
     a = enter
     for k in range(BLOCK):
-        x = (a @ t) * e[k]
+        x = a @ t
+        if not k:
+            x[first_block] = a[first_block]
+        x *= e[k]
         x /= x.sum(axis=1, keepdims=True)
         a = x if whole[k] else np.where(real[k][:, None], x, a)
         alpha[k] = a
+    beta = np.empty((BLOCK, blocks, labels), np.float32)
     b_ = leave
     for k in range(BLOCK - 1, -1, -1):
-        alpha[k] *= b_
+        beta[k] = b_
         x = (e[k] * b_) @ t.T
         x /= x.max(axis=1, keepdims=True)
         b_ = x if whole[k] else np.where(real[k][:, None], x, b_)
-    out = alpha.swapaxes(0, 1).reshape(-1, labels)[place]
-    return out / out.sum(axis=1, keepdims=True)
+    return tuple(x.swapaxes(0, 1).reshape(-1, labels)[place] for x in (alpha, beta))
+
+
+def expected_pairs(forward: np.ndarray, backward: np.ndarray, emission: np.ndarray, trans: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Probabilities of the pairs of labels (of the step before, of the step) at the steps `inner`, which aren't first of their sequences, summed: exact, from the two messages."""
+    right = np.exp(emission[inner] - emission[inner].max(axis=1, keepdims=True)) * backward[inner]
+    joint = forward[inner - 1][:, :, None] * np.exp(trans - trans.max())[None] * right[:, None, :]
+    return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def fit(windows: list[tuple[str, list[str]]], lexicon_words: int = 400, rounds: int = 30, rate: float = 0.2, l2: float = 1e-6, seed: int = 5) -> Model:
@@ -203,16 +220,12 @@ def fit(windows: list[tuple[str, list[str]]], lexicon_words: int = 400, rounds:
     np.add.at(pairs, (gold[inner - 1], gold[inner]), 1)
     for _ in range(rounds):
         emission = (np.add.reduceat(model.weight[value], begin, axis=0) + lists @ model.listed)[flat]
-        m = marginals(emission, model.trans, count)
+        forward, backward = messages(emission, model.trans, count)
+        m = forward * backward
+        m /= m.sum(axis=1, keepdims=True)
         slope = np.stack([np.bincount(flat, (one - m)[:, k], len(types)) for k in range(n)], axis=1) / len(sequences)
         by_feature = np.stack([np.bincount(value, slope[owner, k], BUCKETS) for k in range(n)], axis=1) - l2 * model.weight
-        # pair marginals from neighbours' messages, to first order by the chain's own normalisation
-        t, e = np.exp(model.trans - model.trans.max()), np.exp(emission[inner] - emission[inner].max(axis=1, keepdims=True))
-        left = m[inner - 1]
-        right = m[inner] / np.maximum((left @ t) * e, 1e-30) * e
-        joint = left[:, :, None] * t[None] * right[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        by_pair = (pairs - joint.sum(axis=0)) / len(sequences)
+        by_pair = (pairs - expected_pairs(forward, backward, emission, model.trans, inner)) / len(sequences)
         for x, g, s in zip((model.weight, model.listed, model.trans), (by_feature, lists.T @ slope, by_pair), sums, strict=True):
             s += g * g
             x += rate * g / np.sqrt(s)

@@ -1,5 +1,6 @@
 """The conditional random field against sequential recursions and held-out accuracy."""
 
+import itertools
 import random
 import zlib
 
@@ -29,7 +30,7 @@ def test_marginals_equal_the_recursion():
         e, t = np.exp(emission[at : at + n]), np.exp(trans)
         a, forward = np.ones(3) / 3, np.zeros((n, 3))
         for i in range(n):
-            a = (a @ t) * e[i]
+            a = (a @ t if i else a) * e[i]
             a /= a.sum()
             forward[i] = a
         b = np.ones(3)
@@ -41,6 +42,58 @@ def test_marginals_equal_the_recursion():
         at += n
 
 
+def by_enumeration(emission, trans, count):
+    """Logarithm of the sum over all labellings, probabilities of labels, and of neighbouring pairs summed over all steps."""
+    labels, at, log_sum, single, pairs = len(trans), 0, 0.0, [], np.zeros_like(trans)
+    for n in count:
+        ways = np.array(list(itertools.product(range(labels), repeat=n)))
+        score = sum(emission[at + i, ways[:, i]] for i in range(n)) + sum(trans[ways[:, i - 1], ways[:, i]] for i in range(1, n))
+        log_sum += np.log(np.exp(score).sum())
+        p = np.exp(score) / np.exp(score).sum()
+        single += [np.bincount(ways[:, i], p, labels) for i in range(n)]
+        for i in range(1, n):
+            np.add.at(pairs, (ways[:, i - 1], ways[:, i]), p)
+        at += n
+    return log_sum, np.array(single), pairs
+
+
+def test_pairs_equal_the_enumeration_and_gradient_the_differences(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    count = np.array([8, 1, 5, 3, 7])
+    emission, trans = rng.normal(size=(count.sum(), 3)) * 2, rng.normal(size=(3, 3))
+    first = np.zeros(count.sum(), bool)
+    first[np.cumsum(count) - count] = True
+    inner = np.flatnonzero(~first)
+    log_sum, single, pairs = by_enumeration(emission, trans, count)
+    forward, backward = langid.messages(emission, trans, count)
+    got = langid.expected_pairs(forward, backward, emission, trans, inner)
+    assert abs(langid.marginals(emission, trans, count) - single).max() < 1e-5 and abs(got - pairs).max() < 1e-4
+    gold = rng.integers(3, size=count.sum())
+    right = np.zeros((3, 3))
+    np.add.at(right, (gold[inner - 1], gold[inner]), 1)
+
+    def likelihood(e, t):
+        return e[np.arange(len(gold)), gold].sum() + t[gold[inner - 1], gold[inner]].sum() - by_enumeration(e, t, count)[0]
+
+    for i, j in itertools.product(range(3), repeat=2):
+        step = np.zeros((3, 3))
+        step[i, j] = 1e-5
+        assert abs((likelihood(emission, trans + step) - likelihood(emission, trans - step)) / 2e-5 - (right - got)[i, j]) < 1e-3
+    for at, k in ((0, 1), (9, 2), (20, 0)):
+        step = np.zeros_like(emission)
+        step[at, k] = 1e-5
+        slope = (np.eye(3)[gold] - single)[at, k]
+        assert abs((likelihood(emission + step, trans) - likelihood(emission - step, trans)) / 2e-5 - slope) < 1e-3
+
+
+def test_learned_transitions_follow_the_switches():
+    rng = random.Random(3)
+    windows = [(lang, text(rng, lang, 24).split()) for lang in SYLLABLES for _ in range(40)]
+    model = langid.fit(windows)
+    assert all(model.trans[i, i] > model.trans[i, j] + 0.1 for i in range(3) for j in range(3) if i != j)
+
+
 def test_held_out_accuracy_and_edges(spark):
     rows = [*corpus(), (1000, None, "aa"), (1001, "", "bb"), (1002, "12 ²!", "cc"), (1003, "thing erly", None), (None, "thing", "aa")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"language": F.lit(1), "h": F.lit("x")})
