@@ -2,15 +2,16 @@
 
 Canonical form: NFKC, full case folding, NFKC again (ICU, which Spark ships and
 `reflect` calls inside the JVM), runs of white space to one space, trimmed.
-Fingerprint: two differently seeded xxhash64 of the canonical form. The forms
-of texts whose digest is not alone are grouped by their bytes; where a bucket
-holds different bytes, the fingerprints of its members get the SHA-256 of their
-bytes appended, so equal fingerprints mean equal bytes.
+Fingerprint: two differently seeded xxhash64 of the canonical form, made once
+for each text and written with the other narrow columns. The forms of texts
+whose digest is not alone are made again and grouped by their bytes; where a
+bucket holds different bytes, the fingerprints of its members get the SHA-256 of
+their bytes appended, so equal fingerprints mean equal bytes.
 
 Next documents: ids are cut into ranges by quantiles (a bounded list of
 numbers); each range is one sort, and the topmost document of a range is also
 dealt to the range above, whose lowest document it follows. The texts are
-shuffled once; both uses of that exchange read the same shuffle files.
+shuffled once; after that only those of shared buckets are, by id and hash.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import maybe_broadcast, save
+
 #: Ranges of ids for each shuffle partition: evens out what hashing deals to a partition.
 RANGES = 4
 #: Stands for a null id where texts are looked up by id.
@@ -49,7 +52,7 @@ def ranges(docs: DataFrame, count: int) -> list[int]:
 
 
 def in_order(docs: DataFrame, count: int, mark) -> DataFrame:
-    """docs (doc_id, text) with rng, mark (of the text), and next_text, next_mark: those of the next document by descending doc_id, after the last the first.
+    """docs (doc_id, text) with mark (of the text), and next_doc_id, next_text, next_mark: those of the next document by descending doc_id, after the last the first.
 
     Rows of one id are ordered by text; null ids stand last.
     """
@@ -74,17 +77,15 @@ def in_order(docs: DataFrame, count: int, mark) -> DataFrame:
     # only ids and texts are dealt, by every use of this table: so there is one exchange, and nothing is shuffled twice
     marked = dealt.repartition("rng").withColumn("mark", mark(F.col("text")))
     order = Window.partitionBy("rng").orderBy((F.col("guest") == 2).asc(), F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    led = marked.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("text", "mark")})
-    return led.filter("guest = 0").drop("guest")
+    led = marked.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("doc_id", "text", "mark")})
+    return led.filter("guest = 0").drop("guest", "rng")
 
 
-def edited_texts(docs: DataFrame, count: int, mark) -> DataFrame:
-    """(rng, doc_id, text, n_chars, edited, mark, next_mark): each text and its copy whose last third is the next document's beginning."""
-    led = in_order(docs, count, mark)
-    n = F.length("text")
+def edited(text: Column, next_text: Column) -> Column:
+    """A text whose last third is the next document's beginning."""
+    n = F.length(text)
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
-    return led.select("rng", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_mark", "mark")
+    return F.concat(F.substring(text, F.lit(1), n - third), F.substring(next_text, F.lit(1), third))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int | None = None, digest_of=digest) -> DataFrame:
@@ -99,24 +100,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     count = count or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ident = lambda doc_id: F.coalesce(doc_id, F.lit(NO_ID))
     sure = lambda canon: F.struct(digest_of(canon).alias("d"), F.unhex(F.sha2(canon, 256)).alias("s"))
-    texts = edited_texts(docs, count, lambda text: sure(canonical(text)))
-    rows = texts.select("rng", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "mark", "next_mark", sure(canonical(F.col("edited"))).alias("edited_mark"))
-
-    # buckets with more than one holder, and which texts of which documents are in them, by range
-    held = rows.select("rng", "doc_id", F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("mark.d").alias("d")), F.struct(F.lit(True).alias("e"), F.col("edited_mark.d").alias("d")))).alias("h")).select("rng", "doc_id", "h.e", "h.d")
+    led = in_order(docs, count, lambda text: sure(canonical(text)))
+    other = edited(F.col("text"), F.col("next_text"))
+    rows = led.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(other, 256).alias("edited_sha256"), "mark", "next_mark", sure(canonical(other)).alias("edited_mark"),
+        ident(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("hash"), ident(F.col("next_doc_id")).alias("next_id"), F.xxhash64("next_text").alias("next_hash"),
+    )
+    rows = save(rows, "marks")  # no text
+
+    # buckets with more than one holder, and the texts that make up the forms in them
+    forms_of = F.array(F.struct(F.lit(False).alias("e"), F.col("mark.d").alias("d")), F.struct(F.lit(True).alias("e"), F.col("edited_mark.d").alias("d")))
+    key, after = ["id", "hash"], ["next_id", "next_hash"]
+    held = rows.select(*key, *after, F.explode(forms_of).alias("h")).select(*key, *after, "h.e", "h.d")
     full = held.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d")
-    ids = lambda edited: F.collect_set(F.when(F.col("e") == edited, F.coalesce("doc_id", F.lit(NO_ID))))
-    who = held.join(full, "d", "left_semi").groupBy("rng").agg(ids(False).alias("own_ids"), ids(True).alias("edited_ids"))
+    holders = save(held.join(full, "d", "left_semi"), "holders")
+    made = holders.filter("e").select(*key, *after).distinct()
+    sought = holders.select(*key).unionByName(made.select(*[F.col(a).alias(k) for a, k in zip(after, key, strict=True)])).distinct()
+    texts = docs.select(ident(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("hash"), "text").join(maybe_broadcast(sought), key).dropDuplicates(key)
+    then = texts.select(F.col("id").alias("next_id"), F.col("hash").alias("next_hash"), F.col("text").alias("next_text"))
+    composed = made.join(texts, key).join(then, after).select(edited(F.col("text"), F.col("next_text")).alias("text"))
     # their bytes, each different form once: a bucket is mixed if it has more than one
-    shared = lambda name, text: F.when(F.array_contains(name, F.coalesce("doc_id", F.lit(NO_ID))), F.col(text))
-    compared = texts.join(who, "rng").select(F.explode(F.array_compact(F.array(shared("own_ids", "text"), shared("edited_ids", "edited")))).alias("t"))
-    forms = compared.select(canonical(F.col("t")).alias("canon")).groupBy("canon").agg(F.lit(1).alias("one")).select(digest_of(F.col("canon")).alias("d"))
+    forms = texts.select("text").unionByName(composed).select(canonical(F.col("text")).alias("canon")).groupBy("canon").agg(F.lit(1).alias("one")).select(digest_of(F.col("canon")).alias("d"))
     mixed = forms.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d", F.lit(True).alias("mixed"))
+    mixed = save(mixed, "mixed")  # hardly ever a row
 
     name = lambda mark, mixed: F.concat(F.lower(F.lpad(F.hex(F.col(f"{mark}.d.h")), 16, "0")), F.lower(F.lpad(F.hex(F.col(f"{mark}.d.l")), 16, "0")), F.when(F.col(mixed), F.concat(F.lit("-"), F.lower(F.hex(F.col(f"{mark}.s"))))).otherwise(F.lit("")))
-    own = mixed.select(F.col("d").alias("own_d"), F.col("mixed").alias("own_mixed"))
-    other = mixed.select(F.col("d").alias("other_d"), F.col("mixed").alias("other_mixed"))
+    own = maybe_broadcast(mixed.select(F.col("d").alias("own_d"), F.col("mixed").alias("own_mixed")))
+    other = maybe_broadcast(mixed.select(F.col("d").alias("other_d"), F.col("mixed").alias("other_mixed")))
     out = rows.join(own, F.col("mark.d") == F.col("own_d"), "left").join(other, F.col("edited_mark.d") == F.col("other_d"), "left")
     return out.select(
         "doc_id",
