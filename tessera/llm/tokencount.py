@@ -4,10 +4,14 @@ The tokenizer of a byte-level BPE file is compiled into two deterministic
 transducers:
 
 * An outer one over character classes (one symbol of look-ahead folded into the
-  alphabet) whose eight states say where the pre-tokens begin. Its table is
-  dense, so a chunk of text is a map from entry state to exit state. The maps
-  of all chunks of a batch are made side by side, composed by a parallel prefix
-  scan, and the second pass runs every chunk from its true entry state.
+  alphabet) whose eight states say where the pre-tokens begin. A transition that
+  begins a pre-token is annotated with the number of tokens which that emits:
+  after such a transition the state depends on the symbol alone, so the
+  pre-token's end and the annotation don't depend on the state before it.
+  A chunk of text thus is a map from entry state to exit state and emitted
+  count. The maps of all chunks of a batch are made side by side, for the entry
+  states that the symbols before a chunk leave possible, and are composed by a
+  parallel prefix scan; a text's count is the difference of two prefixes.
 * An inner one whose arcs are whole pre-tokens, each annotated with the number
   of tokens it emits. Arcs are compiled as they are first met, many at once,
   from the merge table, and forgotten when there are too many.
@@ -43,8 +47,8 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANK, ONE_LEFT, TWO_L
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: The splitting rule (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of a chunk, and arcs that a worker remembers.
-CHUNK, ARCS = 64, 300_000
+#: Characters of a chunk, symbols before it that tell its entry states, and arcs that a worker remembers.
+CHUNK, BEFORE, ARCS = 64, 4, 300_000
 #: Bytes beyond which a pre-token is merged with a heap instead of in the batch.
 LONG_BYTES = 96
 
@@ -174,28 +178,65 @@ class Counter:
         out[ends] = STOP
         return out
 
-    def boundaries(self, symbol: np.ndarray) -> np.ndarray:
-        """Whether a token begins at each character: chunk maps, prefix scan, second pass."""
-        n = len(symbol)
-        rows = -(-n // CHUNK)
+    def grid(self, symbol: np.ndarray) -> np.ndarray:
+        """The chunks as columns; what is missing of the last one stops."""
+        rows = -(-len(symbol) // CHUNK)
         grid = np.full(rows * CHUNK, STOP, np.uint8)
-        grid[:n] = symbol
-        grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
-        maps = np.repeat(np.arange(8, dtype=np.uint8)[:, None], rows, axis=1)
-        for j in range(CHUNK):
-            maps = self.next[maps * np.uint8(9) + grid[j]]
-        step = 1
-        while step < rows:  # maps[:, i] becomes the composition of all chunks up to i
-            maps[:, step:] = np.take_along_axis(maps[:, step:], maps[:, :-step].astype(np.intp), axis=0)
-            step *= 2
-        state = np.empty(rows, np.uint8)
-        state[0], state[1:] = FRESH, maps[FRESH, :-1]
-        out = np.empty((CHUNK, rows), bool)
+        grid[: len(symbol)] = symbol
+        return np.ascontiguousarray(grid.reshape(rows, CHUNK).T)
+
+    def maps(self, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exit state by entry state and chunk; and for each character the entry states, as bits, from which a pre-token begins there: of those that are possible only."""
+        rows = grid.shape[1]
+        state = np.repeat(np.arange(8, dtype=np.uint8)[:, None], rows, axis=1)
+        image = state[:, 1:].copy()
+        for j in range(CHUNK - BEFORE, CHUNK):
+            image = self.next[image * np.uint8(9) + grid[j, :-1]]
+        possible = np.zeros((8, rows), np.uint8)
+        possible[FRESH, 0] = 1
+        np.put_along_axis(possible[:, 1:], image.astype(np.intp), np.uint8(1), axis=0)
+        possible <<= np.arange(8, dtype=np.uint8)[:, None]
+        bits = np.empty(grid.shape, np.uint8)
         for j in range(CHUNK):
             at = state * np.uint8(9) + grid[j]
-            out[j] = self.begins[at]
+            bits[j] = np.bitwise_or.reduce(np.where(self.begins[at], possible, 0), axis=0)
             state = self.next[at]
-        return out.T.ravel()[:n]
+        return state, bits
+
+    @staticmethod
+    def scan(maps: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """For each chunk the composition of the maps of all chunks up to it, with the counts emitted on the way."""
+        maps, step = maps.copy(), 1
+        counts = None if counts is None else counts.copy()
+        while step < maps.shape[1]:
+            through = maps[:, :-step].astype(np.intp)
+            if counts is not None:
+                counts[:, step:] = counts[:, :-step] + np.take_along_axis(counts[:, step:], through, axis=0)
+            maps[:, step:] = np.take_along_axis(maps[:, step:], through, axis=0)
+            step *= 2
+        return maps, counts
+
+    @staticmethod
+    def entries(composed: np.ndarray) -> np.ndarray:
+        """Entry state of each chunk."""
+        return np.concatenate(([FRESH], composed[FRESH, :-1])).astype(np.uint8)
+
+    def boundaries(self, symbol: np.ndarray) -> np.ndarray:
+        """Whether a pre-token begins at each character."""
+        maps, bits = self.maps(self.grid(symbol))
+        return (bits >> self.entries(self.scan(maps)[0]) & 1).astype(bool).T.ravel()[: len(symbol)]
+
+    def ends(self, symbol: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens end that begin at these places."""
+        end, state = start + 1, self.next[symbol[start]]  # as from FRESH: any state before gives the same
+        going = np.arange(len(start))
+        while len(going := going[end[going] < len(symbol)]):
+            at = state[going] * np.uint8(9) + symbol[end[going]]
+            on = ~self.begins[at]
+            going, at = going[on], at[on]
+            state[going] = self.next[at]
+            end[going] += 1
+        return end
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
@@ -209,15 +250,25 @@ class Counter:
                 parts += cut
                 owner += [i] * len(cut)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(size + 1) - 1
+        stops = np.cumsum(size + 1) - 1
         joined = "\n".join(parts) + "\n"
-        start = np.flatnonzero(self.boundaries(self.symbols(joined, ends)))
-        cut = start.tolist()
-        tokens = [joined[a:b] for a, b in zip(cut, [*cut[1:], len(joined)], strict=True)]
-        emitted = self.annotate(tokens)
-        emitted[np.searchsorted(start, ends)] = 0
-        total = np.concatenate(([0], np.cumsum(emitted)))
-        each = np.diff(total[np.searchsorted(start, np.concatenate(([0], ends + 1)))])
+        symbol = self.symbols(joined, stops)
+        maps, bits = self.maps(self.grid(symbol))
+        entry = self.entries(self.scan(maps)[0])
+        taken = bits >> entry & 1
+        place = lambda at: np.flatnonzero(at.T.ravel()[: len(symbol)])
+        start, other = place(taken), place(bits & ~(np.uint8(1) << entry))
+        other = np.setdiff1d(other, start, assume_unique=True)
+        begin = np.concatenate((start, other))
+        end = np.concatenate((start[1:], [len(symbol)], self.ends(symbol, other)))
+        emits = np.zeros(maps.shape[1] * CHUNK, np.int64)
+        emits[begin] = self.annotate([joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+        emits[stops] = 0
+        emits = emits.reshape(-1, CHUNK).T
+        along = np.stack([np.where(bits >> np.uint8(q) & 1, emits, 0).sum(axis=0) if (bits >> np.uint8(q) & 1).any() else np.zeros(maps.shape[1], np.int64) for q in range(8)])
+        before = np.concatenate(([0], self.scan(maps, along)[1][FRESH, :-1]))
+        within = np.cumsum(np.where(taken, emits, 0), axis=0)
+        each = np.diff(before[stops // CHUNK] + within[stops % CHUNK, stops // CHUNK], prepend=0)
         if owner is not None:
             each = np.bincount(owner, weights=each, minlength=len(texts)).astype(np.int64)
         return each + extra

@@ -59,6 +59,13 @@ def test_forgetting_changes_nothing(compiled, monkeypatch):
     assert [int(machine.counts([t])[0]) for t in some] == want
 
 
+def test_counts_compose_over_short_chunks(library, compiled, monkeypatch):
+    monkeypatch.setattr(tokencount, "CHUNK", 4)
+    some = texts(7, 1500)[:1500] + ["don't we'll 've'd x'", "it's" * 40]
+    want = [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert tokencount.Counter(compiled).counts(some).tolist() == want
+
+
 def test_chunk_maps_equal_a_sequential_run(compiled):
     machine = tokencount.Counter(compiled)
     symbol = np.random.default_rng(1).integers(0, 6, 1000).astype(np.uint8)
