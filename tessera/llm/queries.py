@@ -79,7 +79,29 @@ QUERIES = {
 #: Words of the contracts on whole words, in DuckDB.
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: The license templates as rows of SQL, with their words in the same way.
+TEMPLATES = ", ".join("({}, '{}', {}, '{}')".format(i, label, exact, text.replace("'", "''")) for i, (text, label, exact) in enumerate([*((t, b, "true") for t, b in licenses.PHRASES), *((t, b, "false") for t, b in licenses.NOTICES)]))
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_diagonals": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        t AS (SELECT i, label, exact, w, len(w) AS size, CASE WHEN exact OR len(w) < 12 THEN 2 ELSE 3 END AS k FROM (SELECT i, label, exact, {WORDS} AS w FROM (VALUES {TEMPLATES}) v(i, label, exact, text))),
+        tg AS (SELECT i, k, place, array_to_string(list_slice(w, place + 1, place + k), ' ') AS g FROM (SELECT i, k, w, unnest(range(0, size - k + 1)) AS place FROM t)),
+        dg AS (SELECT doc_id, k, pos, array_to_string(list_slice(w, pos + 1, pos + k), ' ') AS g FROM (SELECT doc_id, k, w, unnest(range(0, greatest(len(w) - k + 1, 0))) AS pos FROM d, (SELECT unnest([2, 3]) AS k))),
+        votes AS (SELECT DISTINCT doc_id, i, place, pos - place AS diagonal FROM dg JOIN tg USING (k, g)),
+        lines AS (SELECT doc_id, i, diagonal, count(*) AS n FROM votes GROUP BY ALL),
+        base AS (SELECT l.doc_id, t.label, l.diagonal FROM lines l JOIN t USING (i) WHERE t.exact AND l.n = t.size - t.k + 1),
+        covered AS (SELECT DISTINCT l.doc_id, l.i, l.diagonal, unnest(range(v.place, v.place + t.k)) AS p
+                    FROM lines l JOIN t USING (i) JOIN votes v ON v.doc_id = l.doc_id AND v.i = l.i AND v.diagonal >= l.diagonal
+                         AND v.diagonal <= l.diagonal + CASE WHEN t.size < 12 THEN 0 ELSE floor((CAST(1.34 AS DOUBLE) - 1) * t.size) END WHERE NOT t.exact),
+        notice AS (SELECT doc_id, label, CAST(count(*) AS DOUBLE) / size AS score, CASE WHEN size < 12 THEN count(*) = size ELSE CAST(count(*) AS DOUBLE) / size >= CAST(0.75 AS DOUBLE) END AS sure FROM covered JOIN t USING (i) GROUP BY doc_id, i, diagonal, label, size),
+        found AS (SELECT doc_id, label, 1.0::DOUBLE AS score FROM base UNION ALL SELECT doc_id, CASE WHEN sure THEN label END, score FROM notice),
+        per AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM found GROUP BY doc_id),
+        phrases AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+        FROM d LEFT JOIN phrases USING (doc_id) LEFT JOIN per USING (doc_id)
+    """,
     "op3_decontamination": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
         b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0),
