@@ -6,9 +6,12 @@
    2 * side * width minhashes do the work of side * side * 2 * width.
    Equal sets of one batch get keys once: copies cost nothing more.
 2. Equal digests are one class. A key that two classes share makes candidates:
-   each holder is joined to the smallest holder of the key, found by a map-side
-   combined aggregate, and the components of these edges are candidate groups.
-   Any two documents that share a key are in the same group, whatever its size.
+   each holder is joined to the smallest holder of the key, and the components
+   of these edges are candidate groups. One map-side combined aggregate finds
+   the holders of keys that have up to three (the smallest, the largest, and
+   what is left of the exclusive or of all); only keys with more are joined with
+   the postings again. Any two documents that share a key are in the same group,
+   whatever its size.
 3. Groups are verified exactly on whole sets, each set shuffled once. A group
    within `group_shingles` is verified in one task; a larger one by blocks of
    bounded size: a broadcast block of sets is held against all members where
@@ -316,8 +319,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # candidates: holders of a key, each with the smallest holder
     keyed = signed.filter("keys is not null and doc_id is not null")
     posted = keyed.select(F.explode("keys").alias("key"), "doc_id", "lo")
-    shared = posted.groupBy("key").agg(F.min("doc_id").alias("low"), F.min("lo").alias("a"), F.max("lo").alias("b")).filter("a <> b").select("key", "low")
-    near = posted.select("key", "doc_id").join(shared, "key").select(F.col("doc_id").alias("u"), F.col("low").alias("v")).distinct()
+    shared = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor("doc_id").alias("all"), F.min("lo").alias("a"), F.max("lo").alias("b")).filter("a <> b")
+    middle = F.when(F.col("n") == 3, F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high")))
+    shared = save(shared.select("key", "n", "low", "high", middle.alias("middle")), "shared")
+    few = shared.filter("n <= 3").select(F.explode(F.array("high", "middle")).alias("u"), F.col("low").alias("v")).filter("u is not null")
+    more = posted.select("key", "doc_id").join(maybe_broadcast(shared.filter("n > 3").select("key", "low")), "key").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
+    near = few.unionByName(more).distinct()
     groups = components(near).select(F.col("node").alias("doc_id"), F.col("root").alias("gid"))
 
     # one member of each class and group is verified, on its whole set
@@ -350,6 +357,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """docs with all its columns, one document of each component: the smallest id."""
-    gone = near_duplicates(docs, **settings).filter("not kept").select(F.col("doc_id").alias(name := free(docs, "_gone")[0]))
-    return docs.join(maybe_broadcast(save(gone, "gone")), F.col("doc_id") == F.col(name), "left_anti")
+    """docs with all its columns, one document of each component: the smallest id. Of rows that repeat an id and its text one stays; null ids stay."""
+    gone, copy = free(docs, "_gone", "_copy")
+    lost = near_duplicates(docs, **settings).filter("not kept").select(F.col("doc_id").alias(gone))
+    kept = docs.join(maybe_broadcast(save(lost.distinct(), "gone")), F.col("doc_id") == F.col(gone), "left_anti")
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    twice = save(docs.filter("doc_id is not null").groupBy(key.alias(copy)).agg(F.count("*").alias("n")).filter("n > 1").select(copy), "repeated")
+    if twice.isEmpty():
+        return kept
+    marked = kept.join(maybe_broadcast(twice), (key == F.col(copy)) & F.col("doc_id").isNotNull(), "left")
+    return marked.filter(F.col(copy).isNull()).drop(copy).unionByName(marked.filter(F.col(copy).isNotNull()).dropDuplicates([copy]).drop(copy))

@@ -70,6 +70,9 @@ def test_keep_one_keeps_all_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, None, "z")], "doc_id long, text string, root string")
     assert sorted(r.doc_id for r in neardup.keep_one(df).collect()) == [1, 3]
     assert neardup.keep_one(df).columns == df.columns
+    again = df.unionByName(df).unionByName(spark.createDataFrame([(3, "other", "z"), (None, "q", "z"), (None, "q", "z")], df.schema))
+    assert sorted((r.doc_id or 0, r.text or "") for r in neardup.keep_one(again).collect()) == [(0, "q"), (0, "q"), (1, "a b c d e f"), (3, ""), (3, "other")]
+    assert neardup.keep_one(again).columns == df.columns
 
 
 def test_components_of_chains_loops_and_hubs(spark):
