@@ -38,11 +38,35 @@ except (AttributeError, OSError, TypeError):  # another C library
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of our own (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return at.rstrip("/")
+    """The application's folder in the one that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local run gets a temporary folder of its own; on a
+    cluster that is an error. The folder goes when the driver's Python ends, or
+    with forget().
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
+        _own[app] = f"{at.rstrip('/')}/tessera/{app}"
+        atexit.register(forget, spark)
+    return _own[app]
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes the application's intermediate tables; results that haven't been written yet can't be read afterwards."""
+    try:
+        at = _own.get(spark.sparkContext.applicationId)
+        if at:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended before: its folder stays for whoever owns the shared one
+        return
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,7 +89,7 @@ def ship(spark: SparkSession) -> None:
 def save(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}/{label}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, native_words, save, small
+from .common import free, maybe_broadcast, native_words, save, small
 
 #: Windows up to which the index is broadcast (about 200 bytes each).
 INDEX_ROWS = 200_000
@@ -74,10 +74,9 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, index_rows: i
     spread = save(window_shingles(windows, shingle), "shingles")
     widths = [r[0] for r in spread.select("width").distinct().sort("width").collect()] or [shingle]
     fits = small(windows, index_rows)
-    hint = F.broadcast if fits else (lambda df: df)
-    sought = spread.select("key").distinct()
+    sought = maybe_broadcast(spread.select("key").distinct(), 5 * index_rows)  # a number a row
     plain = positions(docs, widths)
-    rarity = plain.filter("pos < n_words").select("key").join(hint(sought), "key").groupBy("key").agg(F.count("*").alias("n"))
+    rarity = plain.filter("pos < n_words").select("key").join(sought, "key").groupBy("key").agg(F.count("*").alias("n"))
     ranked = spread.join(save(rarity, "rarity"), "key")  # a window with a shingle that occurs nowhere occurs nowhere
     whole = ranked.groupBy("window_id").agg(F.count("*").alias("found"), F.min(F.struct("n", "off", "key")).alias("rarest"), F.first("window_words").alias("window_words"), F.first("width").alias("width"))
     index = whole.filter(F.col("found") == F.size("window_words") - F.col("width") + 1)

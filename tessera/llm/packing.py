@@ -236,5 +236,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     base = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cut.join(maybe_broadcast(base), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     seated = spark.createDataFrame(plan, "length long, low long, high long, first long, offset long")
-    placed = ranked.join(F.broadcast(seated), (ranked.length == seated.length) & F.col("rank").between(F.col("low"), F.col("high")))
+    placed = ranked.join(maybe_broadcast(seated), (ranked.length == seated.length) & F.col("rank").between(F.col("low"), F.col("high")))
     return placed.select("doc_id", "piece", "start", ranked.length, "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import maybe_broadcast, ship
 
 #: Fixed values of the contract: verdict and host rule.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -73,7 +73,7 @@ def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
     spark = urls.sparkSession
     sought = spark.createDataFrame([(t,) for t in tokens], "token string")
     seen = urls.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
-    counts = seen.join(F.broadcast(sought), "token").groupBy("token").agg(F.count("*").alias("n")).collect()
+    counts = seen.join(maybe_broadcast(sought), "token").groupBy("token").agg(F.count("*").alias("n")).collect()
     return {r.token: r.n for r in counts}
 
 
