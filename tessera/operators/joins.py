@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import free
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], prefix: str = "r_") -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, take: list[str], prefix: str = "r_", ties: list[Column] | None = None) -> DataFrame:
     """Each left row with the columns `take` of the last right row of its key at or before it, nulls where there is none.
 
     Both sides are dealt by key once and one ordered pass carries the last
-    right row forward; at equal times right rows come first. Null keys meet
-    each other, as in grouping.
+    right row forward; at equal times right rows come first, in the order of
+    `ties` (columns of right; by default of `take`), so the last of them is
+    taken. Null keys meet each other, as in grouping; a left row without a time
+    has no right row, and right rows without one are never taken. A key's rows
+    are in one task.
     """
+    at, side, tie, own, other, last = free(["_at", "_side", "_tie", "_left", "_right", "_last"], left, right)
     payload = F.struct(*[F.col(c).alias(c) for c in take])
-    one = left.select(*by, F.col(left_on).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("_right"))
-    two = right.select(*by, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(one.schema["_left"].dataType).alias("_left"), payload.alias("_right"))
-    order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = one.unionByName(two).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
-    return carried.filter("_side = 1").select("_left.*", *[F.col(f"_last.{c}").alias(f"{prefix}{c}") for c in take])
+    two = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias(at), F.lit(0).alias(side), F.struct(*(ties or [F.col(c) for c in take])).alias(tie), payload.alias(other))
+    one = left.select(*by, F.col(left_on).alias(at), F.lit(1).alias(side), F.struct(*left.columns).alias(own))
+    order = Window.partitionBy(*by).orderBy(F.col(at).asc_nulls_first(), side, tie).rowsBetween(Window.unboundedPreceding, 0)
+    carried = one.unionByName(two, allowMissingColumns=True).withColumn(last, F.last(other, ignorenulls=True).over(order))
+    return carried.filter(F.col(side) == 1).select(f"{own}.*", *[F.col(f"{last}.{c}").alias(f"{prefix}{c}") for c in take])
 
 
 def range_join(left: DataFrame, right: DataFrame, by: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
@@ -26,16 +32,25 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], at: str, low: s
 
     Both sides are cut into buckets of that width, so the join has an equality
     on the bucket also where `by` is empty; a range is repeated in each bucket
-    that it meets.
+    that it meets. Ranges that end before they begin, or lack an end, meet nothing.
     """
+    (cut,) = free(["_bucket"], left, right)
     bucket = lambda c: F.floor(F.col(c) / F.lit(width))
-    spread = right.withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    joined = left.withColumn("_bucket", bucket(at)).join(spread, [*by, "_bucket"])
-    return joined.filter(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
+    spread = right.filter(F.col(low) <= F.col(high)).withColumn(cut, F.explode(F.sequence(bucket(low), bucket(high))))
+    joined = left.withColumn(cut, bucket(at)).join(spread, [*by, cut])
+    return joined.filter(F.col(at).between(F.col(low), F.col(high))).drop(cut)
+
+
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, seconds: float) -> DataFrame:
+    """Pairs of a left row and a right row of its key that comes at most so many seconds after it (times are timestamps), by range_join()."""
+    begin, end, place = free(["_begin", "_end", "_place"], left, right)
+    time = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    spans = left.withColumns({begin: time(left_at), end: time(left_at) + F.lit(float(seconds))})
+    return range_join(right.withColumn(place, time(right_at)), spans, by, place, begin, end, float(seconds) or 1.0).drop(begin, end, place)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int) -> DataFrame:
-    """An inner equi-join whose left keys may be hot: left rows of a key are dealt to `salts` parts, right rows are repeated for each."""
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts).cast("long"))
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.withColumn("_salt", salt).join(spread, [*on, "_salt"]).drop("_salt")
+    """An inner equi-join whose left keys may be hot: left rows of a key, equal ones too, are dealt to `salts` parts by their place, right rows are repeated for each."""
+    (salt,) = free(["_salt"], left, right)
+    spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts).cast("long"))).join(spread, [*on, salt]).drop(salt)

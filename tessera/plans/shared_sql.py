@@ -46,7 +46,26 @@ SHARED = {
         SELECT l_shipyear, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_extendedprice), 2) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r
         FROM (SELECT *, CAST(year(l_shipdate) AS BIGINT) AS l_shipyear FROM lineitem) t GROUP BY l_shipyear""",
     "median_and_mode": """
-        SELECT c_mktsegment, round(median(c_acctbal), 4) AS med FROM customer GROUP BY c_mktsegment""",
+        SELECT s.c_mktsegment, round(s.med, 4) AS med, m.c_nationkey AS most FROM (SELECT c_mktsegment, median(c_acctbal) AS med FROM customer GROUP BY c_mktsegment) s
+        JOIN (SELECT c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_nationkey) AS r FROM customer GROUP BY c_mktsegment, c_nationkey) m
+        ON s.c_mktsegment = m.c_mktsegment AND m.r = 1""",
+    "boolean_and_bit_aggregates": """
+        SELECT l_returnflag, bool_and(l_quantity > 0) AS every_q, bool_or(l_discount > 0.09) AS any_d, bit_xor(l_partkey) AS x, bit_and(l_orderkey) AS a, bit_or(l_suppkey) AS o FROM lineitem GROUP BY l_returnflag""",
+    "extreme_rows": """
+        SELECT user_id, max_by(event_id, ts) AS last_id, min_by(event_id, ts) AS first_id, max_by(event_type, ts) AS last_type FROM events GROUP BY user_id""",
+    "null_order": """
+        SELECT doc_id, CAST(row_number() OVER (ORDER BY q ASC NULLS LAST, doc_id) AS BIGINT) AS low_first, CAST(row_number() OVER (ORDER BY q DESC NULLS FIRST, doc_id) AS BIGINT) AS high_first
+        FROM (SELECT DISTINCT n_nationkey AS doc_id, nullif(n_regionkey, 2) AS q FROM nation) t""",
+    "more_date_functions": """
+        SELECT o_orderkey, CAST(dayofmonth(o_orderdate) AS BIGINT) AS d, CAST(weekofyear(o_orderdate) AS BIGINT) AS w, last_day(CAST(o_orderdate AS DATE)) AS l,
+               CAST(o_orderdate + INTERVAL '2' MONTH AS DATE) AS two_on, CAST(o_orderdate - INTERVAL '1' YEAR AS DATE) AS year_ago, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS y
+        FROM orders""",
+    "more_string_functions": """
+        SELECT part.p_partkey, split_part(p_name, ' ', 1) AS one, CAST(ascii(p_brand) AS BIGINT) AS a, repeat(left(p_type, 2), 2) AS r, lower(right(p_type, 3)) AS e, translate(p_brand, 'Bran', '1234') AS t,
+               p_type LIKE 'S%' AS s, ltrim(rtrim(concat('  ', p_brand, ' '))) AS b FROM part""",
+    "correlated_exists_and_in": """
+        SELECT c_custkey FROM customer c WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 2000)
+        AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)""",
     "grouping_sets": """
         SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g FROM lineitem
         GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""",

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 OPTIONS = {
     "parquet": {},
     "orc": {},
+    "text": {},
     "json": {"ignoreNullFields": "false"},
     "csv": {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"},
 }
