@@ -95,8 +95,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than it must."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; a distributed count, which for a saved table reads no column."""
+    return df.count() <= rows
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -127,7 +127,10 @@ def chunks(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterator[tu
 
 
 def release() -> None:
-    """Hands freed memory back to the system: idle workers stay beside the executor's heap and would keep it."""
+    """Hands freed memory back to the system, Arrow's too: idle workers stay beside the executor's heap and would keep it."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from .tokencount import Compiled, Counter
 
 #: Characters that a worker encodes at once, and bytes from which a segment goes through the compiled tokenizer: long white space is too much for the other's patterns.
-BATCH, LONG = 8_000_000, 10_000
+BATCH, LONG = 2_000_000, 10_000
 #: Whether a byte after a space begins something other than white space for sure: not white space itself, and not the first byte of a character that might be.
 SURE = np.ones(256, bool)
 SURE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -44,11 +44,11 @@ class Encoder:
 
     def __init__(self, compiled: Compiled):
         self.machine = Counter(compiled)
-        self.special = compiled.special
+        self.special, self.last = compiled.special, compiled.last
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else lambda text: [text]
         self.ranks = compiled.by_rank()
         self.apart = re.compile(f"[{re.escape(compiled.apart)}]").search if compiled.apart else lambda text: None
-        self.width = np.zeros(1 + max(compiled.vocabulary.values()), np.int64)
+        self.width = np.zeros(1 + self.last, np.int64)
         for token, i in compiled.vocabulary.items():
             self.width[i] = len(token)
 

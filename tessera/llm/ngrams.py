@@ -28,12 +28,12 @@ from pyspark.sql import types as T
 
 from .common import chunks, release, save, ship, small
 from .encoder import Encoder, spans
-from .tokencount import Compiled
+from .tokencount import Compiled, shared
 
 #: Rows up to which the table of bigrams is sent to the workers (12 bytes a row).
 TABLE_ROWS = 6_000_000
 #: Characters that a worker handles at once.
-BATCH = 4_000_000
+BATCH = 1_000_000
 #: Bits of a token's number in a key.
 BITS = 20
 SCORE = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType())])
@@ -49,40 +49,42 @@ class Vocabulary:
 
     def __init__(self, compiled: Compiled):
         self.compiled = compiled
-        self.start = 1 + max([*compiled.vocabulary.values(), *compiled.special.values()])
+        self.start = 1 + compiled.last
         self.repeat = self.start + 1
         #: How many can follow: all but the start.
         self.size = self.start + 1
 
-    def bigrams(self, encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of texts end to end: the text's place, the token before, and the token. Texts of white space only have none."""
-        s = encoder.segments([t if t.strip() else "" for t in texts])
-        n = len(s.slot)
-        if not n:
-            return tuple(np.empty((3, 0), np.int64))
-        same = s.text[1:] == s.text[:-1]
-        again = np.zeros(n, bool)
-        again[1:] = same & (s.slot[1:] == s.slot[:-1])
-        whole, begin = s.size[s.slot], s.begin[s.slot]
-        size = np.where(again, 1, whole)
-        first = np.cumsum(size) - size
-        token = s.flat[spans(begin, size)].astype(np.int64)
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[first[0]] = self.start
-        before[first[1:]] = np.where(same, s.flat[(begin + whole - 1)[:-1]], self.start)
-        token[first[again]] = self.repeat
-        return np.repeat(s.text, size), before, token
+
+def bigrams(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of texts end to end: the text's place, the token before, and the token. Texts of white space only have none."""
+    s = encoder.segments([t if t.strip() else "" for t in texts])
+    n = len(s.slot)
+    if not n:
+        return tuple(np.empty((3, 0), np.int64))
+    start = 1 + encoder.last
+    same = s.text[1:] == s.text[:-1]
+    again = np.zeros(n, bool)
+    again[1:] = same & (s.slot[1:] == s.slot[:-1])
+    whole, begin = s.size[s.slot], s.begin[s.slot]
+    size = np.where(again, 1, whole)
+    first = np.cumsum(size) - size
+    token = s.flat[spans(begin, size)].astype(np.int64)
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[first[0]] = start
+    before[first[1:]] = np.where(same, s.flat[(begin + whole - 1)[:-1]], start)
+    token[first[again]] = start + 1
+    return np.repeat(s.text, size), before, token
 
 
 def counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(f, b, c, n): how often c follows b in the texts (f, text) of each half."""
 
     ship(texts.sparkSession)
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = shared(texts.sparkSession, vocabulary.compiled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, held, rows = Encoder(sent.value.compiled), [], 0
+        encoder, held, rows = Encoder(sent.value), [], 0
 
         def out() -> pd.DataFrame:
             keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
@@ -94,14 +96,17 @@ def counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             f = batch["f"].to_numpy(np.int64)
             for at, part in chunks(batch["text"], BATCH):
-                text, b, c = sent.value.bigrams(encoder, part)
+                text, b, c = bigrams(encoder, part)
                 held.append(np.unique((f[at + text] << 2 * BITS) | (b << BITS) | c, return_counts=True))
                 rows += len(held[-1][0])
-                if rows > 2_000_000:
+                if rows > 1_000_000:
                     yield out()
                     rows = 0
+            part = text = b = c = None
+            release()
         if held:
             yield out()
+        batch = encoder = None
         release()
 
     return texts.select("f", "text").mapInPandas(run, "f int, b int, c int, n long").groupBy("f", "b", "c").agg(F.sum("n").alias("n"))
@@ -151,7 +156,6 @@ class Tables:
     """A model of few enough rows, as arrays: sorted keys of each half and logarithms."""
 
     def __init__(self, model: Model, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
         top = vocabulary.repeat + 1
         seen = model.seen.select(F.shiftleft(F.col("f").cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(F.col("b").cast("long"), BITS)).bitwiseOR(F.col("c").cast("long")).alias("key"), F.log("p").cast("float").alias("p")).toArrow()
         key = seen.column("key").to_numpy()
@@ -184,22 +188,27 @@ def scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_col: str,
     ship(docs.sparkSession)
     if not small(model.seen, table_rows):
         return joined_scores(docs, model, vocabulary, text_col, out)
-    sent = docs.sparkSession.sparkContext.broadcast(Tables(model, vocabulary))
+    sent, compiled = docs.sparkSession.sparkContext.broadcast(Tables(model, vocabulary)), shared(docs.sparkSession, vocabulary.compiled)
 
     @F.pandas_udf(SCORE)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         tables = sent.value
-        encoder = Encoder(tables.vocabulary.compiled)
+        encoder = Encoder(compiled.value)
         for texts, halves in batches:
             f, parts = halves.to_numpy(np.int64), [pd.DataFrame({"tokens": np.empty(0, np.int64), "mean": np.empty(0), "variance": np.empty(0)})]
             for at, part in chunks(texts, BATCH):
-                text, b, c = tables.vocabulary.bigrams(encoder, part)
+                text, b, c = bigrams(encoder, part)
                 lost = -tables.logarithms(f[at + text], b, c)
                 n = np.bincount(text, minlength=len(part))
                 with np.errstate(invalid="ignore", divide="ignore"):
                     mean = np.bincount(text, lost, len(part)) / n
                     parts.append(pd.DataFrame({"tokens": n, "mean": mean, "variance": np.bincount(text, (lost - mean[text]) ** 2, len(part)) / n}))
-            yield pd.concat(parts[1:] or parts, ignore_index=True)
+            out = pd.concat(parts[1:] or parts, ignore_index=True)
+            texts = part = parts = text = b = c = lost = None
+            release()
+            yield out
+        encoder = None
+        release()
 
     found = score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit("")), half(F.col(text_col)))
     number = lambda name: F.when(~F.isnan(F.col(f"{out}.{name}")), F.col(f"{out}.{name}")).alias(name)
@@ -208,14 +217,14 @@ def scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_col: str,
 
 def joined_scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_col: str, out: str) -> DataFrame:
     """scores() by joins: each distinct text's bigrams with the model's shards, and the sums with the docs."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = shared(docs.sparkSession, vocabulary.compiled)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(sent.value.compiled)
+        encoder = Encoder(sent.value)
         for batch in batches:
             t, f = (batch[k].to_numpy(np.int64) for k in ("t", "f"))
             for at, part in chunks(batch["text"], BATCH):
-                text, b, c = sent.value.bigrams(encoder, part)
+                text, b, c = bigrams(encoder, part)
                 place, n = np.unique((text << 2 * BITS) | (b << BITS) | c, return_counts=True)
                 text = at + (place >> 2 * BITS)
                 yield pd.DataFrame({"t": t[text], "f": f[text], "b": place >> BITS & (1 << BITS) - 1, "c": place & (1 << BITS) - 1, "n": n})

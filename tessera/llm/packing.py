@@ -26,16 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, maybe_broadcast, save, ship
+from .common import chunks, maybe_broadcast, release, save, ship
 from .encoder import BATCH, Encoder
-from .tokencount import Compiled
+from .tokencount import Compiled, compiled, shared
 
 
-def pieces(docs: DataFrame, compiled: Compiled, capacity: int, end: int) -> DataFrame:
+def pieces(docs: DataFrame, tables: Compiled, capacity: int, end: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth) of docs (doc_id, text): nth is the rank among the task's pieces of that length."""
 
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(compiled)
+    sent = shared(docs.sparkSession, tables)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(sent.value)
@@ -62,6 +62,10 @@ def pieces(docs: DataFrame, compiled: Compiled, capacity: int, end: int) -> Data
                 nth[order] = np.arange(len(order)) - first + seen[by]
                 seen += np.bincount(length, minlength=capacity + 1)
                 yield pd.DataFrame({"doc_id": docs.iloc[at : at + len(texts)].to_numpy()[doc], "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "task": np.full(len(doc), task, np.int32), "nth": nth})
+            texts = ids = little = doc = begin = None
+            release()
+        batch = docs = encoder = None
+        release()
 
     return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
@@ -228,7 +232,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = save(pieces(whole, Compiled(path), capacity, end), "pieces")
+    cut = save(pieces(whole, compiled(path), capacity, end), "pieces")
     counts = save(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = seats(local_search(best_fit(lengths, capacity), capacity))

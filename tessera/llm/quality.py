@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 from .common import free, maybe_broadcast, save
-from .tokencount import Compiled
+from .tokencount import compiled
 
 #: Vocabulary file whose tokens are counted, unless another is given.
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,7 +26,7 @@ def vocabulary(path: str | None) -> ngrams.Vocabulary:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    return ngrams.Vocabulary(Compiled(path))
+    return ngrams.Vocabulary(compiled(path))
 
 
 def good_ids(labels: DataFrame, name: str) -> DataFrame:

@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,6 +141,8 @@ class Compiled:
         self.classes = character_classes(Tokenizer.from_file(path))
         letters = {c: b for b, c in enumerate(byte_letters())}
         self.vocabulary = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        #: The largest id.
+        self.last = max([*vocab.values(), *self.special.values()])
         self.apart = "".join(map(chr, np.flatnonzero(self.classes != rank_classes()).tolist()))
 
     def by_rank(self):
@@ -149,6 +152,25 @@ class Compiled:
         return Encoding("own", pat_str=SPLIT, mergeable_ranks=self.vocabulary, special_tokens={})
 
 
+_compiled: dict[str, Compiled] = {}
+_sent: dict[tuple[str, int], Broadcast] = {}
+
+
+def compiled(path: str) -> Compiled:
+    """The tables of a file, made once on the driver."""
+    if path not in _compiled:
+        _compiled[path] = Compiled(path)
+    return _compiled[path]
+
+
+def shared(spark, tables: Compiled) -> Broadcast:
+    """The tables as sent to the workers, once for each application: a few MB."""
+    key = spark.sparkContext.applicationId, id(tables)
+    if key not in _sent:
+        _sent[key] = spark.sparkContext.broadcast(tables)
+    return _sent[key]
+
+
 class Counter:
     """A worker's machine: the compiled tables and the arcs met so far."""
 
@@ -377,7 +399,7 @@ class Counter:
 def token_count(spark, path: str):
     """A column function: text to (n_bytes, n_tokens). The file is read on the driver; workers get the compiled tables."""
     ship(spark)
-    sent = spark.sparkContext.broadcast(Compiled(path))
+    sent = shared(spark, compiled(path))
 
     @F.pandas_udf(T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
