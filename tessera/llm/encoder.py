@@ -10,7 +10,7 @@ import pyarrow as pa
 from .tokencount import Compiled, Counter
 
 #: Characters that a worker encodes at once, and bytes from which a segment goes through the compiled tokenizer: long white space is too much for the other's patterns.
-BATCH, LONG = 2_000_000, 10_000
+BATCH, LONG = 1_000_000, 10_000
 #: Whether a byte after a space begins something other than white space for sure: not white space itself, and not the first byte of a character that might be.
 SURE = np.ones(256, bool)
 SURE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False

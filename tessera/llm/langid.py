@@ -33,7 +33,9 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Label of texts without a letter.
 NONE = "und"
 #: Steps of a block, words that a worker remembers, buckets that features are hashed to.
-BLOCK, CACHE, BUCKETS = 32, 250_000, 1 << 17
+BLOCK, CACHE, BUCKETS = 32, 100_000, 1 << 17
+#: Characters that a worker handles at once: a new word has some fifty features.
+BATCH = 300_000
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -321,7 +323,7 @@ def language(spark, model: Model):
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(sent.value)
         for batch in batches:
-            parts = [labeller.texts(texts) for _, texts in chunks(batch)]
+            parts = [labeller.texts(texts) for _, texts in chunks(batch, BATCH)]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": [], "score": [], "words": [], "switches": []})
 
     return label.asNondeterministic()

@@ -33,7 +33,7 @@ from .tokencount import Compiled, shared
 #: Rows up to which the table of bigrams is sent to the workers (12 bytes a row).
 TABLE_ROWS = 6_000_000
 #: Characters that a worker handles at once.
-BATCH = 1_000_000
+BATCH = 500_000
 #: Bits of a token's number in a key.
 BITS = 20
 SCORE = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType())])
