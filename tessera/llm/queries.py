@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, langid, licenses, neardup, packing, quality, tokencount, toolcalls, urlfilter
+from . import decontaminate, exact, langid, licenses, neardup, packing, phrases, pieces, quality, repeats, tokencount, toolcalls, urlfilter
 
 #: Vocabulary file of the token counts and of packing: a parameter of those operators.
 VOCABULARY = "byte_bpe_50k.json"
+#: Model of the encoding in pieces.
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all texts, some of which repeat words as repeats.planted() has it."""
+    found = repeats.periodic_runs(repeats.planted(read(spark, sf_dir, "documents")))
+    runs = F.col("found.runs")
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    # by start, then period: of equals the first stays
+    best = F.aggregate(runs, none, lambda a, x: F.when(a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"]), x).otherwise(a))
+    lines = F.transform(runs, lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    rows = found.select("doc_id", "found", best.alias("best"), F.array_join(lines, "").alias("lines"))
+    return rows.select(
+        "doc_id", F.size("found.runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary(PIECES)
+    rows = pieces.decode(pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_crf_language": op1_crf_language,
     "op2_exact_digest": op2_exact_digest,
@@ -74,6 +102,9 @@ QUERIES = {
     "op8_tool_calls": op8_tool_calls,
     "op9_url_rules": op9_url_rules,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_collocations": op13_collocations,
 }
 
 #: Words of the contracts on whole words, in DuckDB.
@@ -131,6 +162,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id, min(y) = doc_id AS kept
         FROM (SELECT x AS doc_id, y, n.n FROM reach LEFT JOIN n ON x = n.doc_id) t GROUP BY doc_id
     """,
+    "op13_collocations": r"""
+        WITH p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS t FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS v FROM f WHERE k > 1),
+        cuts AS (SELECT lang, phrase, n AS a, cut, array_to_string(v[1:cut], ' ') AS x, array_to_string(v[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        scored AS (SELECT s.lang, s.phrase, s.a, s.cut, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * s.a * s.a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+                   FROM cuts s JOIN f l ON l.lang = s.lang AND l.phrase = s.x JOIN f r ON r.lang = s.lang AND r.phrase = s.y),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        held AS (SELECT lang, part, max(n) AS longer FROM (SELECT lang, n, array_to_string(v[1:2], ' ') AS part FROM c WHERE k = 3 UNION ALL SELECT lang, n, array_to_string(v[2:3], ' ') FROM c WHERE k = 3) GROUP BY lang, part),
+        kept AS (SELECT w.* FROM lowest w LEFT JOIN held h ON h.lang = w.lang AND h.part = w.phrase WHERE h.longer IS NULL OR 100 * h.longer < 50 * w.a)
+        SELECT lang, rank, phrase, a, l, r, total.n AS n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) t JOIN total USING (lang) WHERE rank <= 2000
+    """,
     # what from_turns() makes of the table, by its rules; each call there needs one other at most, so a level is the weight of one path
     "op8_tool_calls": """
         WITH RECURSIVE t AS (SELECT conv_id, turn, role, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS q, ((7 * conv_id + turn) % 13 + 13) % 13 AS k FROM conversations),

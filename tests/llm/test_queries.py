@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_tool_calls": {"conv_id", "call_id", "status", "json"},
     "op9_url_rules": {"page_id", "host", "path", "rule", "verdict"},
     "op10_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
+    "op11_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op12_sentencepiece": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+    "op13_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
 
 
