@@ -30,6 +30,8 @@ from .common import chunks, free, ship
 
 #: Runs of letters (and letter-like numerals); digits and signs are not words.
 WORD = re.compile(r"[^\W\d_]+")
+#: Languages learned at most.
+LANGUAGES = 200
 #: Label of texts without a letter.
 NONE = "und"
 #: Steps of a block, words that a worker remembers, buckets that features are hashed to.
@@ -282,28 +284,33 @@ class Labeller:
         return pd.DataFrame({"lang": names, "score": np.clip(score, 0, 1), "words": count, "switches": switches})
 
 
-def sample(docs: DataFrame, documents: int, windows: int, length: int) -> list[tuple[str, list[str]]]:
-    """Training windows: of each language the `documents` first documents by a hash of the id, of each up to `windows` runs of `length` words, evenly spaced.
+def sample(docs: DataFrame, documents: int, windows: int, length: int, languages: int = LANGUAGES) -> list[tuple[str, list[str]]]:
+    """Training windows: of each language the `documents` first different documents by a hash of the id, then of the text; of each up to `windows` runs of `length` words, evenly spaced.
 
-    The only bounded sample; at most documents * windows * length words a language reach the driver.
+    The only bounded sample: of the `languages` languages with the most
+    documents, at most languages * documents * windows * length words reach the
+    driver, whatever repeats. Documents that share id, language and text are one.
     """
     ship(docs.sparkSession)
-    ranked = docs.filter("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= documents).select("doc_id").distinct()
+    keyed = docs.filter("lang is not null and doc_id is not null and text is not null").select("doc_id", "lang", F.xxhash64("text").alias("t"), "text")
+    common = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    ranked = keyed.join(F.broadcast(common), "lang").select("doc_id", "lang", "t").distinct().withColumn("h", F.xxhash64("doc_id"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    chosen = ranked.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= documents).select("doc_id", "lang", "t")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             langs, runs = [], []
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                words = WORD.findall((text or "").lower())
+                words = WORD.findall(text.lower())
                 starts = range(0, len(words), max(length, -(-len(words) // windows)))
                 for s in starts:
                     langs.append(lang)
                     runs.append(" ".join(words[s : s + length]))
             yield pd.DataFrame({"lang": pd.Series(langs, dtype=object), "run": pd.Series(runs, dtype=object)})
 
-    held = docs.filter("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    # at most languages * documents rows are sent, and as many documents come back
+    held = keyed.join(F.broadcast(chosen), ["doc_id", "lang", "t"]).dropDuplicates(["doc_id", "lang", "t"]).select("text", "lang")
     rows = held.mapInPandas(run, "lang string, run string").collect()
     return sorted((r.lang, r.run.split(" ")) for r in rows if r.run)
 
@@ -351,7 +358,11 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """(doc_id, held_out, lang_pred, score, n_words, n_switches) for each row of docs, by a model of the rows that aren't held out.
 
     Neither ids nor given languages are inputs of a prediction. Null languages
-    and ids are not learned from; extra columns are ignored.
+    and ids are not learned from. Null and empty texts, and those without
+    letters, are `und` with score 0; whole texts of any length are labelled. If
+    languages have equal shares of a text's letters, it is the first in
+    alphabetical order. Repeated rows give the same; extra columns are ignored;
+    an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(rows.filter(~held_out(F.col("doc_id"))), **settings)

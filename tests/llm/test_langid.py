@@ -126,3 +126,24 @@ def test_filter_keeps_columns(spark):
     df = spark.createDataFrame([*corpus(), (999, "", "aa")], "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
     kept = langid.keep_known(df, langid.train(df))
     assert kept.columns == df.columns and 999 not in {r.doc_id for r in kept.collect()}
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    """One id on many rows, and one document on many rows, don't outgrow the bound."""
+    rng = random.Random(8)
+    rows = [(7, text(rng, "aa", 200), "aa") for _ in range(500)] + [(9, "ere on ly", "bb")] * 500 + [(i, text(rng, "cc", 5), "cc") for i in range(30)] + [(1, None, "cc"), (None, "x y", "cc"), (2, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, 10, 3, 24)
+    n = {k: sum(lang == k for lang, _ in got) for k in ("aa", "bb", "cc")}
+    assert n["aa"] <= 30 and n["bb"] == 1 and n["cc"] == 10 and max(len(run) for _, run in got) <= 24
+    assert got == langid.sample(docs.repartition(5), 10, 3, 24)
+    assert {lang for lang, _ in langid.sample(docs, 10, 3, 24, languages=2)} == {"aa", "bb"}
+    assert langid.sample(docs.limit(0), 10, 3, 24) == []
+
+
+def test_ties_empty_and_very_long_texts(spark):
+    docs = spark.createDataFrame([*corpus(), (900, "ing ung " * 130_000, None), (901, "", None), (902, None, "aa"), (903, " 12 \n", None)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.predict(docs).collect()}
+    assert len(out) == 244 and out[900].n_words == 260_000 and 0 <= out[900].score <= 1
+    assert all((out[i].lang_pred, out[i].score) == ("und", 0.0) for i in (901, 902, 903))
+    assert langid.train(docs.filter("doc_id < 900")).labels == ["aa", "bb", "cc"]  # equal shares go to the first
