@@ -9,7 +9,8 @@ counts, continuation counts and counts of counts, sharded by context. They grow
 with the trusted text. A table that has been checked to be small goes to the
 workers, so scoring shuffles nothing; beyond that bound the documents' bigrams,
 combined by text, are joined with its shards, and each text's logarithms are
-summed. Both give the same.
+summed. Logarithms are kept as whole numbers of 1 / SCALE, so sums don't depend
+on their order, and both give the same to the last bit.
 
 Trusted texts are in two halves by a hash of the text (so copies stay together),
 and each text, trusted or not, is scored by the model of the other half: counts
@@ -30,13 +31,15 @@ from .common import chunks, release, save, ship, small
 from .encoder import Encoder, spans
 from .tokencount import Compiled, shared
 
+#: Logarithms are multiples of 1 / SCALE. Squares of a text of up to 5 million tokens can be summed as whole numbers.
+SCALE = 1 << 16
 #: Rows up to which the table of bigrams is sent to the workers (12 bytes a row).
 TABLE_ROWS = 6_000_000
 #: Characters that a worker handles at once.
 BATCH = 500_000
 #: Bits of a token's number in a key.
 BITS = 20
-SCORE = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("variance", T.DoubleType())])
+SUMS = T.StructType([T.StructField(k, T.LongType()) for k in ("tokens", "lost", "squares")])
 
 
 def half(text: Column) -> Column:
@@ -131,42 +134,57 @@ def smoothed(table: DataFrame, context: list[str], n: str) -> tuple[DataFrame, D
     return own, totals.select(*context, (F.col("taken") / F.col("total")).alias("back"))
 
 
+def whole(p: Column) -> Column:
+    """Logarithm of a probability or weight, in whole numbers of 1 / SCALE."""
+    return F.round(F.log(p) * SCALE).cast("int")
+
+
 class Model:
-    """The tables of both halves' models: `seen` (f, b, c, p) has the probabilities of bigrams that occur, `back` (f, b, w) the weights of contexts, `base` (f, c, p1) the lower order, `unknown` (f, p0) that of tokens that don't occur."""
+    """The tables of both halves' models, of logarithms: `seen` (f, b, c, p) has the probabilities of bigrams that occur, `back` (f, b, w) the weights of contexts, `base` (f, c, p1) the lower order, `unknown` (f, p0) that of tokens that don't occur."""
 
     def __init__(self, pairs: DataFrame, size: int):
         """pairs: (f, b, c, n) from the shared folder; size: how many tokens can follow."""
         single = save(pairs.groupBy("f", "c").agg(F.count("*").alias("n")), "single")  # contexts that a token continues
         own1, back1 = smoothed(single, ["f"], "n")
-        self.unknown = save(back1.select("f", (F.col("back") / size).alias("p0")), "unknown")
-        self.base = save(own1.join(self.unknown, "f").select("f", "c", (F.col("own") + F.col("p0")).alias("p1")), "base")
+        unknown = save(back1.select("f", (F.col("back") / size).alias("p0")), "unknown")
+        base = save(own1.join(unknown, "f").select("f", "c", (F.col("own") + F.col("p0")).alias("p1")), "base")
         own2, back2 = smoothed(pairs, ["f", "b"], "n")
-        self.back = save(back2.select("f", "b", F.col("back").alias("w")), "back")
-        seen = own2.join(self.back, ["f", "b"]).join(self.base, ["f", "c"])
-        self.seen = save(seen.select("f", "b", "c", (F.col("own") + F.col("w") * F.col("p1")).alias("p")), "seen")
+        back = save(back2.select("f", "b", F.col("back").alias("w")), "back")
+        seen = own2.join(back, ["f", "b"]).join(base, ["f", "c"])
+        self.seen = save(seen.select("f", "b", "c", whole(F.col("own") + F.col("w") * F.col("p1")).alias("p")), "seen")
+        self.back, self.base, self.unknown = back.select("f", "b", whole(F.col("w")).alias("w")), base.select("f", "c", whole(F.col("p1")).alias("p1")), unknown.select("f", whole(F.col("p0")).alias("p0"))
+        self.sent = None
 
     def probability(self, rows: DataFrame) -> DataFrame:
-        """rows (f, b, c and others) with `p`, the interpolated probability of c after b in the model of f; null if there is none. Joins sharded by context."""
+        """rows (f, b, c and others) with `p`, the logarithm of the interpolated probability of c after b in the model of f; null if there is none. Joins sharded by context."""
         rows = rows.join(self.seen, ["f", "b", "c"], "left").join(self.back, ["f", "b"], "left").join(self.base, ["f", "c"], "left").join(F.broadcast(self.unknown), "f", "left")
-        lower = F.coalesce("w", F.lit(1.0)) * F.coalesce("p1", "p0")
+        lower = F.coalesce("w", F.lit(0)) + F.coalesce("p1", "p0")
         return rows.withColumn("p", F.coalesce("p", lower)).drop("w", "p1", "p0")
 
+    def table(self, vocabulary: Vocabulary):
+        """The tables as arrays, sent to the workers once."""
+        if self.sent is None:
+            self.sent = self.seen.sparkSession.sparkContext.broadcast(Tables(self, vocabulary))
+        return self.sent
+
 
 class Tables:
-    """A model of few enough rows, as arrays: sorted keys of each half and logarithms."""
+    """A model of few enough rows, as arrays: sorted keys of each half and logarithms. NONE where a half has no model."""
+
+    NONE = np.iinfo(np.int64).max // 4
 
     def __init__(self, model: Model, vocabulary: Vocabulary):
         top = vocabulary.repeat + 1
-        seen = model.seen.select(F.shiftleft(F.col("f").cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(F.col("b").cast("long"), BITS)).bitwiseOR(F.col("c").cast("long")).alias("key"), F.log("p").cast("float").alias("p")).toArrow()
+        seen = model.seen.select(F.shiftleft(F.col("f").cast("long"), 2 * BITS).bitwiseOR(F.shiftleft(F.col("b").cast("long"), BITS)).bitwiseOR(F.col("c").cast("long")).alias("key"), "p").toArrow()
         key = seen.column("key").to_numpy()
         order = np.argsort(key)
         self.key, self.p = key[order], seen.column("p").to_numpy()[order]
-        self.weight, self.base = np.zeros((2, top)), np.full((2, top), np.nan)  # at most a row for each token
+        self.weight, self.base = np.zeros((2, top), np.int64), np.full((2, top), self.NONE)  # at most a row for each token
         for r in model.unknown.collect():
-            self.base[r.f] = np.log(r.p0)
+            self.base[r.f] = r.p0
         back, base = model.back.toArrow().to_pandas(), model.base.toArrow().to_pandas()
-        self.weight[back["f"], back["b"]] = np.log(back["w"])
-        self.base[base["f"], base["c"]] = np.log(base["p1"])
+        self.weight[back["f"], back["b"]] = back["w"]
+        self.base[base["f"], base["c"]] = base["p1"]
 
     def logarithms(self, f: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         out = self.weight[f, b] + self.base[f, c]
@@ -177,6 +195,13 @@ class Tables:
         return out
 
 
+def summed(text: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
+    """Sums of whole numbers by text; text rises."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    ends = np.searchsorted(text, np.arange(texts + 1))
+    return total[ends[1:]] - total[ends[:-1]]
+
+
 def fit(texts: DataFrame, vocabulary: Vocabulary) -> Model:
     """Models of trusted texts (column text): that of a half has the counts of the other one."""
     pairs = counts(texts.select((1 - half(F.col("text"))).alias("f"), "text"), vocabulary)
@@ -188,31 +213,38 @@ def scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_col: str,
     ship(docs.sparkSession)
     if not small(model.seen, table_rows):
         return joined_scores(docs, model, vocabulary, text_col, out)
-    sent, compiled = docs.sparkSession.sparkContext.broadcast(Tables(model, vocabulary)), shared(docs.sparkSession, vocabulary.compiled)
+    sent, compiled = model.table(vocabulary), shared(docs.sparkSession, vocabulary.compiled)
 
-    @F.pandas_udf(SCORE)
+    @F.pandas_udf(SUMS)
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         tables = sent.value
         encoder = Encoder(compiled.value)
         for texts, halves in batches:
-            f, parts = halves.to_numpy(np.int64), [pd.DataFrame({"tokens": np.empty(0, np.int64), "mean": np.empty(0), "variance": np.empty(0)})]
+            f, parts = halves.to_numpy(np.int64), [pd.DataFrame({k: np.empty(0, np.int64) for k in ("tokens", "lost", "squares")})]
             for at, part in chunks(texts, BATCH):
                 text, b, c = bigrams(encoder, part)
-                lost = -tables.logarithms(f[at + text], b, c)
+                p = tables.logarithms(f[at + text], b, c)
                 n = np.bincount(text, minlength=len(part))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mean = np.bincount(text, lost, len(part)) / n
-                    parts.append(pd.DataFrame({"tokens": n, "mean": mean, "variance": np.bincount(text, (lost - mean[text]) ** 2, len(part)) / n}))
+                known = tables.base[f[at : at + len(part)], 0] < tables.NONE  # whether the half has a model
+                p = np.where(known[text], p, 0)
+                parts.append(pd.DataFrame({"tokens": n, "lost": pd.array(np.where(known, -summed(text, p, len(part)), -1), "Int64"), "squares": summed(text, p * p, len(part))}))
             out = pd.concat(parts[1:] or parts, ignore_index=True)
-            texts = part = parts = text = b = c = lost = None
+            out["lost"] = out["lost"].mask(out["lost"] < 0)
+            texts = part = parts = text = b = c = p = None
             release()
             yield out
         encoder = None
         release()
 
     found = score.asNondeterministic()(F.coalesce(F.col(text_col), F.lit("")), half(F.col(text_col)))
-    number = lambda name: F.when(~F.isnan(F.col(f"{out}.{name}")), F.col(f"{out}.{name}")).alias(name)
-    return docs.withColumn(out, found).withColumn(out, F.struct(F.col(f"{out}.tokens").alias("tokens"), number("mean"), number("variance")))
+    return docs.withColumn(out, found).withColumn(out, moments(F.col(f"{out}.tokens"), F.col(f"{out}.lost"), F.col(f"{out}.squares")))
+
+
+def moments(tokens: Column, lost: Column, squares: Column) -> Column:
+    """(tokens, mean, variance) from sums of whole numbers; no mean without tokens or without sums."""
+    n = F.when(tokens > 0, tokens)
+    mean = lost / n / SCALE
+    return F.struct(tokens.alias("tokens"), mean.alias("mean"), F.when(mean.isNotNull(), F.greatest(squares / n / SCALE / SCALE - mean * mean, F.lit(0.0))).alias("variance"))
 
 
 def joined_scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_col: str, out: str) -> DataFrame:
@@ -233,9 +265,12 @@ def joined_scores(docs: DataFrame, model: Model, vocabulary: Vocabulary, text_co
     texts = docs.select(key.alias("t"), half(F.col(text_col)).alias("f"), F.col(text_col).alias("text"))
     rows = model.probability(texts.mapInPandas(run, "t long, f int, b int, c int, n long"))
     copies = F.sum(F.when(F.col("b") == vocabulary.start, F.col("n")))  # each copy has one start
-    total, lost = F.sum("n"), -F.log("p")
-    mean = F.sum(F.col("n") * lost) / total
-    per = rows.groupBy("t").agg(F.struct((total / copies).cast("long").alias("tokens"), mean.alias("mean"), F.greatest(F.sum(F.col("n") * lost * lost) / total - mean * mean, F.lit(0.0)).alias("variance")).alias("s"))
+    total, p = F.sum("n"), F.col("p").cast("long")
+    known = F.count("p") > 0
+    sums = [F.when(known, -F.sum(F.col("n") * p)), F.when(known, F.sum(F.col("n") * p * p))]
+    per = rows.groupBy("t").agg((total / copies).cast("long").alias("tokens"), copies.alias("copies"), sums[0].alias("lost"), sums[1].alias("squares"))
+    # each copy of a text adds the same
+    per = per.select("t", moments(F.col("tokens"), F.expr("lost div copies"), F.expr("squares div copies")).alias("s"))
     per = save(per, "scores").withColumnsRenamed({"t": f"{out}_t", "s": f"{out}_s"})
     none = F.struct(F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("variance"))
     return docs.join(per, key == F.col(f"{out}_t"), "left").withColumn(out, F.coalesce(F.col(f"{out}_s"), none)).drop(f"{out}_t", f"{out}_s")
