@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.shared import fresh_path
+from tessera.streaming import upserts
 
 
 def timed(events: DataFrame, late: str | None) -> DataFrame:
@@ -58,19 +58,21 @@ def totals(events: DataFrame) -> DataFrame:
     return rows.applyInPandasWithState(run, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, path: str, schema, transform, output: str = "complete", files_per_trigger: int = 1, glob: str = "*") -> DataFrame:
+def replay(spark: SparkSession, path: str, schema, transform, output: str = "complete", files_per_trigger: int = 1, glob: str = "*", keys: list[str] | None = None) -> DataFrame:
     """What transform makes of the Parquet files of a folder (those whose names fit glob), read as a stream to their end.
 
-    In append mode the result is written as Parquet to the shared folder; in
-    complete and update mode, which files don't take, it is kept in the driver's
-    memory, for results of bounded size.
+    In append mode the result is written as Parquet to the shared folder. In
+    complete and update mode, which files don't take, batches are upserted there:
+    the last batch is the result, or with update mode the last row of each of `keys`.
     """
     stream = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(path))
-    writer = stream.writeStream.outputMode(output).trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "progress"))
-    name, to = "replay_" + uuid.uuid4().hex, fresh_path(spark, "stream")
-    query = writer.format("parquet").start(to) if output == "append" else writer.format("memory").queryName(name).start()
+    to, progress = fresh_path(spark, "stream"), fresh_path(spark, "progress")
+    if output == "append":
+        query = stream.writeStream.outputMode(output).trigger(availableNow=True).option("checkpointLocation", progress).format("parquet").start(to)
+    else:
+        query = upserts.upsert(stream, to, keys or stream.columns, progress, output)
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(stream.schema).parquet(to) if output == "append" else spark.table(name)
+    return spark.read.schema(stream.schema).parquet(to) if output == "append" else upserts.latest(spark, to, stream.schema, keys or stream.columns, whole=output == "complete")
