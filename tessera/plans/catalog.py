@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,21 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators import groups, joins
+from tessera.operators import groups, joins, slices
+from tessera.plans.deeper import DEEPER
 from tessera.plans.shared_sql import SHARED
 from tessera.plans.wider import WIDER
 from tessera.sources.tables import TABLES, table
 from tessera.streaming import windows
 
 
+NAMES = re.compile(rf"\b({'|'.join(TABLES)})\b")
+
+
 def by_sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A query of SQL text over the tables it names; they are resolved at once, so another call's views don't matter."""
+    """A query of SQL text over the tables it names. They are given as arguments, so no view of the caller's is touched."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for name in TABLES:
-            if name in text:
-                table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return spark.sql(text)
+        named = {name: table(spark, sf_dir, name) for name in set(NAMES.findall(text))}
+        return spark.sql(NAMES.sub(r"{\1}", text), **named)
 
     return run
 
@@ -49,7 +52,7 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     clicks, buys = (events.filter(F.col("event_type") == t) for t in ("click", "purchase"))
-    return joins.asof_join(buys.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "ts", ["event_id", "value"]).select("event_id", "r_event_id", "r_value")
+    return slices.asof_join(buys.select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "ts", ["event_id", "value"]).select("event_id", "r_event_id", "r_value")
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 hours")
+    return slices.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 hours")
 
 
 def hot_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +213,5 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "listed_values": (listed, "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
 }
 
-QUERIES = {name: by_sql(text) for name, text in SHARED.items()} | {name: run for name, (run, _) in (OWN | WIDER).items()}
-ORACLE_SQL = dict(SHARED) | {name: text for name, (_, text) in (OWN | WIDER).items()}
+QUERIES = {name: by_sql(text) for name, text in SHARED.items()} | {name: run for name, (run, _) in (OWN | WIDER | DEEPER).items()}
+ORACLE_SQL = dict(SHARED) | {name: text for name, (_, text) in (OWN | WIDER | DEEPER).items()}

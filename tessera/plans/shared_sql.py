@@ -29,15 +29,17 @@ SHARED = {
         SELECT r_name, s.seg AS segment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer) s""",
     "theta_join": """
         SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b
-        ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal""",
+        ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal AND b.s_acctbal <= a.s_acctbal + 100""",
     "scalar_subquery": """
         SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)""",
     "lateral_join": """
         SELECT n_name, t.c_custkey, t.c_acctbal FROM nation,
         LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) t""",
     "recursive_cte": """
-        WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15)
-        SELECT n, f FROM t""",
+        WITH RECURSIVE t(s, k, n) AS (
+            SELECT s_suppkey, s_suppkey, CAST(0 AS BIGINT) FROM supplier
+            UNION ALL SELECT t.s, p.s_suppkey, t.n + 1 FROM t JOIN supplier p ON p.s_suppkey = CAST(floor(t.k / 2) AS BIGINT) WHERE t.k > 0)
+        SELECT s, max(n) AS steps, min(k) AS root FROM t GROUP BY s""",
     "distinct_counts": """
         SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag""",
     "filtered_aggregates": """
