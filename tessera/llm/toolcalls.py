@@ -11,7 +11,8 @@ conversation is many rows and never one value.
 Order: where calls depend on earlier ones only, (turn, nth) is a topological
 order and every call has level 0, without any round of joins. A call that
 depends on a later one is a level above it. Levels are found for the
-conversations with such calls only, by rounds that settle calls without open
+conversations with such calls only: in one step where a conversation's calls and
+their needs are few (SMALL), else by rounds that settle calls without open
 dependencies and at the same time shorten chains to half their length.
 
 JSON is handled in a marked form, in which strings begin with `s` and numbers
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -37,6 +38,8 @@ RESULT = "stool_call_id string, scontent string"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 #: Level of what is on a circle of dependencies or behind one.
 NEVER = 1 << 40
+#: Calls and needs of a conversation up to which its levels are found within one row.
+SMALL = 1000
 
 
 def bound(value: Column, of) -> Column:
@@ -200,11 +203,41 @@ def faults(name: Column, form: Column, schemas: dict[str, dict]) -> Column:
     return out
 
 
-def levels(first: DataFrame) -> DataFrame:
+def levels_within(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls of small conversations whose level isn't 0, from edges (conv_id, call_id, need, w); null: on a circle or behind one.
+
+    A conversation is an array of its calls' needs. Each pass over it settles
+    the calls whose needs are settled; after as many passes as there are calls,
+    what isn't settled never is.
+    """
+    calls = edges.select("conv_id", F.explode(F.array("call_id", "need")).alias("call_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("call_id")) - 1  # SMALL rows at most
+    calls = calls.withColumn("place", place)
+    to = calls.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("to"))
+    needs = edges.join(to, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.collect_list(F.struct("to", "w")).alias("needs"))
+    none = F.array().cast("array<struct<to: int, w: bigint>>")
+    each = calls.join(needs, ["conv_id", "call_id"], "left").select("conv_id", F.struct("place", "call_id", F.coalesce("needs", none).alias("needs")).alias("c"))
+    whole_ = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("c")).alias("calls"))
+    open_ = F.lit(-1).cast("long")
+
+    def settle(levels: Column, _: Column) -> Column:
+        level = lambda e: F.get(levels, e["to"])
+        above = lambda needs: F.aggregate(needs, F.lit(0).cast("long"), lambda m, e: F.when((m < 0) | (level(e) < 0), open_).otherwise(F.greatest(m, level(e) + e["w"])))
+        return F.transform("calls", lambda c: above(c["needs"]))
+
+    rounds = F.sequence(F.lit(1), F.size("calls"))
+    levels = F.aggregate(rounds, F.transform("calls", lambda c: open_), settle)
+    found = whole_.select("conv_id", F.explode(F.arrays_zip("calls", levels.alias("level"))).alias("z"))
+    found = found.select("conv_id", F.col("z.calls.call_id").alias("call_id"), F.col("z.level").alias("level")).filter("level <> 0")
+    return found.select("conv_id", "call_id", F.when(F.col("level") > 0, F.col("level")).alias("level"))
+
+
+def levels(first: DataFrame, small: int = SMALL) -> DataFrame:
     """(conv_id, call_id, level) of the calls (conv_id, call_id, call_turn, call_nth, call_row, arguments) whose level isn't 0; null: on a circle or behind one.
 
     An edge leads from a call to what it needs, and weighs 1 if that is a later
-    call (or itself). A level is the greatest weight of a path. Each round
+    call (or itself). A level is the greatest weight of a path. Small
+    conversations are done in one step (levels_within). In others each round
     settles the calls without edges, and replaces an edge to a call that has one
     edge by the two together, so chains shrink by half. What then needs itself
     is on a circle; so is all that is left when a round changes nothing, as
@@ -218,6 +251,10 @@ def levels(first: DataFrame) -> DataFrame:
     edges = save(edges, "needs")
     some = save(edges.filter("w > 0").select("conv_id").distinct(), "forward")
     edges = save(edges.join(some, "conv_id", "left_semi"), "edges")
+    # every call that is only needed stands in some call's needs, so there are at most twice as many calls as needs
+    few = save(edges.groupBy("conv_id").agg(F.count("*").alias("n")).filter(3 * F.col("n") <= small).select("conv_id"), "small")
+    within = save(levels_within(edges.join(few, "conv_id", "left_semi")), "levels")
+    edges = save(edges.join(few, "conv_id", "left_anti"), "edges")
     nodes = save(edges.select("conv_id", F.explode(F.array("call_id", "need")).alias("call_id")).distinct().withColumn("level", F.lit(0).cast("long")), "nodes")
     while not edges.isEmpty():
         out = edges.groupBy(*key).agg(F.count("*").alias("many"), F.max(F.struct("need", "w")).alias("only"))
@@ -233,10 +270,10 @@ def levels(first: DataFrame) -> DataFrame:
         nodes = save(nodes.join(risen, key, "left").select(*key, F.greatest("level", F.coalesce("least", F.lit(0))).alias("level")), "nodes")
         edges = step.filter("need is not null").groupBy(*key, "need").agg(F.max("w").alias("w"))
         edges = save(edges.join(nodes.filter(F.col("level") < NEVER), key, "left_semi"), "edges")
-    return nodes.filter("level > 0").select(*key, F.when(F.col("level") < NEVER, F.col("level")).alias("level"))
+    return within.unionByName(nodes.filter("level > 0").select(*key, F.when(F.col("level") < NEVER, F.col("level")).alias("level")))
 
 
-def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict], small: int = SMALL) -> DataFrame:
     """(conv_id, call_id, name, kind, level, turn, nth, result_turn, status, faults, json): a row for each call and each result of messages (conv_id, turn, role, text).
 
     kind: call or result. Rows of a conversation in the order of (level, turn,
@@ -265,7 +302,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     first = save(first.select(*key, F.col("c.turn").alias("call_turn"), F.col("c.nth").alias("call_nth"), F.col("c.row").alias("call_row"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments")), "first")
     after = results.join(first, key).filter(F.col("turn") > F.col("call_turn"))
     answer = after.groupBy(*key).agg(F.min(F.struct("turn", "row")).alias("r")).select(*key, F.col("r.turn").alias("result_turn"), F.col("r.row").alias("result_row"))
-    raised = levels(first).select(*key, "level", F.lit(True).alias("raised"))
+    raised = levels(first, small).select(*key, "level", F.lit(True).alias("raised"))
     placed = first.join(answer, key, "left").join(raised, key, "left").withColumn("level", F.when(F.col("raised"), F.col("level")).otherwise(F.lit(0).cast("long")))
     keys = save(placed.select(*key, F.col("name").alias("call_name"), "call_row", "call_turn", "call_nth", "result_turn", "result_row", "level"), "placed")
 

@@ -81,6 +81,16 @@ def test_a_long_conversation_takes_few_rounds(spark, monkeypatch):
     assert sorted(r.level for r in rows_of(spark, there)) == list(range(600)) and saved.count("step") <= 12
 
 
+def test_a_tangle_takes_one_step(spark, monkeypatch):
+    """Calls that each need the next two: one level for each, found without rounds; circles and what is behind them too."""
+    saved = []
+    monkeypatch.setattr(toolcalls, "save", lambda df, label, save=toolcalls.save: (saved.append(label), save(df, label))[1])
+    tangle = [(1, i, "assistant", calls((f"c{i:02}", "add", {"a": 1, "l": [f"{{{{c{i + 1:02}}}}}", f"{{{{c{i + 2:02}}}}}"]}))) for i in range(40)]
+    assert [r.level for r in sorted(rows_of(spark, tangle), key=lambda r: r.call_id)] == list(range(39, -1, -1)) and saved.count("step") == 0
+    tangle.append((1, 50, "assistant", calls(("c40", "add", {"a": 1, "l": ["{{c38}}"]}))))  # c38 to c40 are a circle, and all are before it
+    assert {r.level for r in rows_of(spark, tangle)} == {None} and saved.count("step") == 0
+
+
 def plain_levels(conversation):
     """Level of each call, None on a circle or behind one, by depth-first search; conversation: {id: (place, needs)}."""
     levels, open_ = {}, set()
@@ -107,7 +117,10 @@ def plain_levels(conversation):
     return {i: None if i in behind else level(i) for i in conversation}
 
 
-def test_random_messages_equal_a_plain_version(spark):
+@pytest.mark.parametrize("small", [0, 30, toolcalls.SMALL])
+def test_random_messages_equal_a_plain_version(spark, monkeypatch, small):
+    """In rounds, within rows, and some of each."""
+    monkeypatch.setattr(toolcalls, "levels", lambda first, _, levels=toolcalls.levels: levels(first, small))
     rng = random.Random(4)
     messages = []
     for conv in range(60):
