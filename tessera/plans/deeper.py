@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import overlaps, quantiles, reach, samples, sketches, slices
+from tessera.sources import segments
 from tessera.sources.saved import saved
+from tessera.sources.shared import fresh_path
 from tessera.sources.tables import table
+from tessera.streaming import timers, windows
 
 #: Rows of a key from which these queries cut it, so that each of their few keys is cut on any tables.
 SLICE_ROWS = 300
@@ -77,6 +81,27 @@ def trade_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.reachable(edges, "s_nationkey", "c_nationkey")
 
 
+def through_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through the connector, in files of ranges of keys; the filter on keys is the connector's."""
+    segments.register(spark)
+    path = fresh_path(spark, "segments")
+    rows = table(spark, sf_dir, "orders").repartitionByRange("o_orderkey")
+    rows.write.format("segments").mode("append").option("path", path).option("key", "o_orderkey").save()
+    return spark.read.format("segments").option("path", path).load().filter("o_orderkey >= 400 and o_orderkey < 9000 and o_orderstatus <> 'F'")
+
+
+def views_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views without a purchase of the user within two hours, from a stream's timers; those whose time is over by the last watermark."""
+    name, store = timers.STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        alone = lambda s: timers.unanswered(s, "view", "purchase", dt.timedelta(hours=2), dt.timedelta(minutes=10))
+        return windows.replay(spark, sf_dir, table(spark, sf_dir, "events").schema, alone, "append", glob="events.parquet")
+    finally:
+        spark.conf.set(name, before)
+
+
 DEEPER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "asof_join_of_hot_keys": (
         hot_asof,
@@ -124,4 +149,12 @@ DEEPER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         r(a, b, n) AS (SELECT a, b, 1 FROM e UNION SELECT r.a, e.b, r.n + 1 FROM r JOIN e ON r.b = e.a WHERE r.n < 30)
         SELECT a AS s_nationkey, b AS c_nationkey, CAST(min(n) AS BIGINT) AS steps FROM r GROUP BY a, b""",
     ),
+    "segments_connector": (through_segments, "SELECT * FROM orders WHERE o_orderkey >= 400 AND o_orderkey < 9000 AND o_orderstatus <> 'F'"),
+    "views_without_purchase": (
+        views_alone,
+        """
+        WITH e AS (SELECT * FROM events WHERE event_type IN ('view', 'purchase'))
+        SELECT user_id, event_id, ts FROM e v WHERE event_type = 'view' AND ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 10 MINUTE
+        AND NOT EXISTS (SELECT 1 FROM e p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR)""",
+    ),
 }
