@@ -214,4 +214,4 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 QUERIES = {name: by_sql(text) for name, text in SHARED.items()} | {name: run for name, (run, _) in (OWN | WIDER | DEEPER).items()}
-ORACLE_SQL = dict(SHARED) | {name: text for name, (_, text) in (OWN | WIDER | DEEPER).items()}
+ORACLE_SQL = dict(SHARED) | {name: text for name, (_, text) in (OWN | WIDER | DEEPER).items() if text}

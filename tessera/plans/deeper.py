@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import overlaps, quantiles, reach, samples, sketches, slices
+from tessera.operators import neighbours, overlaps, quantiles, reach, samples, sketches, slices
 from tessera.sources import segments
 from tessera.sources.saved import saved
 from tessera.sources.shared import fresh_path
@@ -81,6 +81,13 @@ def trade_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach.reachable(edges, "s_nationkey", "c_nationkey")
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, among all; checked against brute force in the tests, as SQL can't say which pairs are candidates."""
+    vecs = table(spark, sf_dir, "embeddings")
+    found = neighbours.nearest(vecs.filter("vec_id % 50 = 0"), vecs, "vec_id", "embedding", 10, 64)
+    return found.select("query", "rank", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 def through_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders through the connector, in files of ranges of keys; the filter on keys is the connector's."""
     segments.register(spark)
@@ -102,7 +109,8 @@ def views_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
-DEEPER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+DEEPER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "nearest_neighbours": (near_vectors, None),
     "asof_join_of_hot_keys": (
         hot_asof,
         """

@@ -39,7 +39,7 @@ def alike(a, b):
     return len(a) == len(b) and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) if isinstance(x, float) and isinstance(y, float) else x == y for x, y in zip(a, b, strict=True))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_duckdb(spark, duck, name):
     got = catalog.QUERIES[name](spark, DATA)
     want = duck.sql(catalog.ORACLE_SQL[name])
@@ -50,4 +50,4 @@ def test_matches_duckdb(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"nearest_neighbours"}  # see test_neighbours.py
