@@ -105,8 +105,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     lower-cased. A document word inside any occurrence of a window is hit; a
     document is contaminated if it has hit words and share * n_hit >= n_words.
     Null and empty texts have no words; null item ids count for hits and not as
-    items. Repeated rows each give their row, and repeated items count once.
-    Extra columns are ignored; with no documents the result is empty, with no
+    items. Repeated rows each give their row, and repeated items count once;
+    overlapping windows hit a word once. Texts are whole, of any length. Extra columns are ignored; with no documents the result is empty, with no
     items nothing is hit.
     """
     return by_text(docs, items, id_col, text_col, item_id_col, item_text_col, window, shingle, share, index_rows).drop("fp")

@@ -94,7 +94,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Likeness of fingerprints of an exact digest is 1.0 if they are equal, else 0.0.
     Null texts count as empty; a lone document is its own next; rows of one id
     follow each other by text, null ids come last; repeated rows each give
-    their row. Extra columns are ignored; an empty table gives an empty result.
+    their row. Texts are whole, of any length. Extra columns are ignored; an
+    empty table gives an empty result.
     digest_of: the bucket's hash of a canonical form (tests pass a poor one).
     """
     spark = docs.sparkSession

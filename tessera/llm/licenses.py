@@ -83,7 +83,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     found if `share` of its words stand within `stretch` times its length; one
     of fewer than `short` words must be whole. Phrases and notices without words
     are never found. score is 1 for a whole phrase, else the best notice's share
-    of words, 0 if nothing votes. Null and empty texts have no words; repeated
+    of words, 0 if nothing votes; of notices with one label any will do. Texts
+    are whole, of any length. Null and empty texts have no words; repeated
     rows each give their row; extra columns are ignored; an empty table gives an
     empty result.
     """

@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked if 100 * |A and B| >= percent * |A or B| over their
     sets of `words`-word shingles; component_id is the smallest id reachable.
     At similarity 0.75 a pair shares a key with probability 0.9995, more above.
-    Null and empty texts have no shingles and are linked with nothing. A null id
+    Texts are whole, of any length. Null and empty texts have no shingles and
+    are linked with nothing. A null id
     keeps its row, without a component, kept. Rows that repeat an id count as one
     document. Extra columns are ignored; an empty table gives an empty result.
     """

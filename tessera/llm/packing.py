@@ -227,7 +227,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     A document is its ids, then `end`; null and empty texts are `end` alone.
     Documents longer than `capacity` are cut into full pieces, the first may be
-    shorter. Repeated rows and ids, null ids too, each are packed; extra columns
+    shorter. Texts are whole, of any length; pieces of one length are seated in
+    the order of their tasks. Repeated rows and ids, null ids too, each are packed; extra columns
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -114,7 +114,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """(page_id, host, path, rule, verdict, pattern) for each row of pages.
 
     A null url, or one without `://`, has an empty host and path and no host
-    rule. Repeated rows each give their row; extra columns (html too) are never
+    rule. Urls are whole, of any length. Of the host rules that fit the longest
+    wins, and no two that fit one url are as long; of the pattern rules the first
+    in alphabetical order. Repeated rows each give their row; extra columns (html too) are never
     read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
