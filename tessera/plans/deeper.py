@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import neighbours, overlaps, quantiles, reach, samples, sketches, slices
+from tessera.operators import neighbours, overlaps, quantiles, reach, samples, shredding, sketches, slices
 from tessera.sources import segments
 from tessera.sources.saved import saved
 from tessera.sources.shared import fresh_path
@@ -88,6 +88,16 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "rank", "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def shredded_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties by their frequent paths, what is left of them, and put together again."""
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    chosen = shredding.frequent(events, "props")
+    names = ["p_" + "_".join(path) for path, _ in chosen]
+    out = shredding.shred(events, "props", chosen, names)
+    back = shredding.assembled(F.col("rest"), [(path, F.col(name)) for (path, _), name in zip(chosen, names, strict=True)])
+    return out.select("event_id", *names, F.to_json("rest").alias("rest"), back.alias("whole"))
+
+
 def through_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders through the connector, in files of ranges of keys; the filter on keys is the connector's."""
     segments.register(spark)
@@ -157,6 +167,10 @@ DEEPER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         r(a, b, n) AS (SELECT a, b, 1 FROM e UNION SELECT r.a, e.b, r.n + 1 FROM r JOIN e ON r.b = e.a WHERE r.n < 30)
         SELECT a AS s_nationkey, b AS c_nationkey, CAST(min(n) AS BIGINT) AS steps FROM r GROUP BY a, b""",
     ),
+    "shredded_json": (
+        shredded_props,
+        "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS p_k, '{}' AS rest, replace(props, ' ', '') AS whole FROM events",
+    ),
     "segments_connector": (through_segments, "SELECT * FROM orders WHERE o_orderkey >= 400 AND o_orderkey < 9000 AND o_orderstatus <> 'F'"),
     "views_without_purchase": (
         views_alone,
