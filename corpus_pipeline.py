@@ -18,6 +18,18 @@ from tessera.llm.common import save
 from tessera.llm.queries import read, vocabulary
 
 
+#: Rows of whole documents in a batch that Python workers get at once: with Spark's usual 10,000 the batches alone are a tenth of a small executor.
+BATCH_ROWS = 2000
+
+
+def light(spark: SparkSession) -> None:
+    """Limits the session's batches, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within the limits of their language's trusted documents.
 
@@ -25,6 +37,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     documents, has the limits of all. Repeated rows fare alike; without any
     trusted document all texts but the blank ones stay.
     """
+    light(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
@@ -34,6 +47,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts and those without letters go; repeated rows fare alike. Null
     languages and ids aren't learned from; without any given language all go.
     """
+    light(spark)
     model = langid.train(docs.filter(~langid.held_out(docs["doc_id"])).select("doc_id", "text", "lang"))
     return langid.keep_known(docs, model)
 
@@ -44,6 +58,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are no one's duplicates and stay, as do rows with a
     null id; of rows that repeat an id and its text one stays.
     """
+    light(spark)
     return neardup.keep_one(docs)
 
 
@@ -61,6 +76,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are a sequence's end alone; repeated rows each are packed.
     """
+    light(spark)
     return packing.pack(docs, vocabulary())
 
 
