@@ -70,7 +70,7 @@ def replay(spark: SparkSession, path: str, schema, transform, output: str = "com
     if output == "append":
         query = stream.writeStream.outputMode(output).trigger(availableNow=True).option("checkpointLocation", progress).format("parquet").start(to)
     else:
-        query = upserts.upsert(stream, to, keys or stream.columns, progress, output)
+        query = upserts.upsert(stream, to, [] if output == "complete" else keys or stream.columns, progress, output)
     try:
         query.awaitTermination()
     finally:
