@@ -38,9 +38,9 @@ def flips(bits: int, most: int = 4) -> list[tuple[int, ...]]:
 
 def matrix(batch: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors that have the right size and no null, and which those are."""
-    fit = np.array([x is not None and len(x) == size and None not in x for x in batch.to_pylist()], bool) if batch.null_count or batch.flatten().null_count or len(batch.flatten()) != size * len(batch) else np.ones(len(batch), bool)
-    rows = batch.filter(pa.array(fit))
-    return rows.flatten().to_numpy().reshape(-1, size).astype(np.float64), fit
+    fit = np.array([x is not None and len(x) == size and None not in x for x in batch.to_pylist()], bool)
+    rows = batch.filter(pa.array(fit, pa.bool_()))
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64), fit
 
 
 def buckets(size: int, tables: int, bits: int, seed: int, probes: int):

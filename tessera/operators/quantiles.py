@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     """(by, out): an array of the quantiles of each group's values, interpolated as the percentile aggregate does.
 
     Nulls and not-a-numbers are left out; a group without other values has null
-    elements. Values are doubles, finite ones.
+    elements. Values are taken as doubles; an infinite one is an error.
     """
     if any(not 0 <= s <= 1 for s in shares):
         raise ValueError("shares are from 0 to 1")
@@ -35,6 +35,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float
     v = F.col(value).cast("double")
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.when(~F.isnan(v), v).alias("v"))
     ends = saved(rows.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "ends")
+    if not ends.filter(F.lit(float("inf")).isin(F.abs("low"), F.abs("high"))).isEmpty():
+        raise ValueError("infinite values have no quantiles")
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)])
     places = ends.select(*keys, "n", "low", "high", F.explode(wanted).alias("w")).withColumn("at", F.col("w.share") * (F.col("n") - 1))
     ranks = places.filter("n > 0").select(*keys, "low", "high", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()

@@ -62,6 +62,8 @@ def test_exact_quantiles(spark, monkeypatch, bins):
         assert got[g] == (want if not xs else pytest.approx(want, rel=1e-12))
     assert quantiles.exact_quantiles(df.limit(0), ["g"], "x", shares).collect() == []
     assert quantiles.exact_quantiles(df, [], "x", [0.5]).count() == 1
+    with pytest.raises(ValueError):
+        quantiles.exact_quantiles(spark.createDataFrame([(1.0,), (float("-inf"),)], "x double"), [], "x", [0.5])
 
 
 def test_samples_are_the_first_by_digest(spark):
