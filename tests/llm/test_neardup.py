@@ -52,13 +52,63 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("bound", [3_000_000, 1000])
 def test_components_match_brute_force(spark, bound):
-    """The second bound sends groups through the block path."""
+    """The second bound sends groups through their rarest shingles and the block path."""
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("node", F.lit("x"))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, group_shingles=bound).collect()}
     assert got == brute(rows)
 
 
+def boilerplate(documents, seed=5):
+    """Documents that share 46 of 100 words, at a similarity of 0.3; every tenth has a near copy, and one text has many."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    common = [word() for _ in range(48)]
+    rows = []
+    for i in range(documents):
+        own = common + [word() for _ in range(52)]
+        rows.append((10 * i, " ".join(own)))
+        if i % 10 == 0:
+            own[60 + i % 30] = word()
+            rows.append((10 * i + 1, " ".join(own)))
+    base = rows[0][1].split()
+    for i in range(documents // 10):
+        base[-1 - i % 3] = word()
+        rows.append((10 * documents + i, " ".join(base)))
+    return rows
+
+
+def test_boilerplate_parts_without_blocks(spark, monkeypatch):
+    """A group ten times the bound, in which no document is like most others: what remains together fits the bound."""
+    rows = boilerplate(400)
+    expected = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def no_blocks(*_):
+        raise AssertionError("blocks were needed")
+
+    monkeypatch.setattr(neardup, "link_blocks", no_blocks)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, group_shingles=4500).collect()}
+    assert got == expected
+
+
+def test_meetings_of_linked_sets_and_repeated_ids(spark):
+    """Each linked pair of sets is in one part, whatever the percentage; one id may have two sets."""
+    rng = random.Random(3)
+    sets = {}
+    for i in range(120):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.7 else frozenset(rng.sample(range(3000), rng.randint(1, 40)))
+        sets[i] = frozenset(x if rng.random() < 0.93 else rng.randrange(3000) for x in base)
+    rows = [(i % 2, i if i < 118 else 7, i, len(s), sorted(s)) for i, s in sets.items()]
+    df = spark.createDataFrame(rows, "gid long, doc_id long, sid long, n_shingles long, shingles array<long>")
+    for percent in (50, 75, 100):
+        part = {r.doc_id: r.gid for r in neardup.meetings(df, percent).collect()}
+        for a, b in itertools.combinations(rows, 2):
+            both = len(set(a[4]) & set(b[4]))
+            if a[0] == b[0] and a[1] != b[1] and 100 * both >= percent * (a[3] + b[3] - both):
+                assert part[a[1]] == part[b[1]]
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
