@@ -54,3 +54,17 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int) ->
     (salt,) = free(["_salt"], left, right)
     spread = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts).cast("long"))).join(spread, [*on, salt]).drop(salt)
+
+
+def not_in(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
+    """Left rows of which `left_col NOT IN (SELECT right_col FROM right)` is true, by a shuffled anti join.
+
+    Spark's own plan of NOT IN sends the whole of right to every task, because of
+    nulls. Here they are counted first: any null in right leaves no row, a null
+    of left stays only where right is empty.
+    """
+    key, n, known = free(["_key", "_n", "_known"], left, right)
+    counted = right.agg(F.count("*").alias(n), F.count(right_col).alias(known))  # one row
+    others = right.filter(F.col(right_col).isNotNull()).select(F.col(right_col).alias(key))
+    rest = left.join(others, F.col(left_col) == F.col(key), "left_anti").crossJoin(F.broadcast(counted))
+    return rest.filter((F.col(n) == 0) | ((F.col(n) == F.col(known)) & F.col(left_col).isNotNull())).drop(n, known)

@@ -61,6 +61,11 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.range_join(parts, bands, [], "p_retailprice", "low", "high", 2.0).select("p_partkey", "s_suppkey")
 
 
+def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN as an anti join: Spark would broadcast every line's key."""
+    return joins.not_in(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")
+
+
 def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
     sold = joins.salted_join(lines, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), ["l_suppkey"], 4)
@@ -162,6 +167,7 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON b.user_id = c.user_id AND b.ts >= c.ts""",
     ),
     "range_join": (ranges, "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice BETWEEN abs(s_acctbal) / 10 AND abs(s_acctbal) / 10 + 2"),
+    "not_in_subquery": (orders_without_lines, SHARED["not_in_subquery"]),
     "salted_join": (salted, "SELECT s_nationkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey"),
     "top_per_group": (
         top_events,

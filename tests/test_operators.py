@@ -91,3 +91,21 @@ def test_stream_drops_late_events_in_append_mode(spark, tmp_path):
     read = lambda: windows.replay(spark, f"{tmp_path}/s/*", schema, lambda s: windows.counts(s, "1 hour", late="10 minutes"), output="append")
     got = {r.window_start.hour: (r.n, r.total) for r in read().collect()}
     assert got[0] == (2, 3.0) and 6 not in got
+
+
+def test_not_in(spark):
+    """As SQL has it with nulls and empty tables, and without sending the table to every task."""
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (4, "e")], "x int, w string")
+    for keys in ([2, 2, 3], [2, None], [], [None], [1, 2, 4]):
+        right = spark.createDataFrame([(k,) for k in keys], "y int")
+        want = spark.sql("SELECT * FROM {l} WHERE x NOT IN (SELECT y FROM {r})", l=left, r=right)
+        assert sorted(joins.not_in(left, right, "x", "y").collect(), key=str) == sorted(want.collect(), key=str)
+    from tessera.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["not_in_subquery"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
