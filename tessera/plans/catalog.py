@@ -17,6 +17,8 @@ from tessera.plans.wider import WIDER
 from tessera.sources.tables import TABLES, table
 from tessera.streaming import windows
 
+#: Parts of a nation's suppliers, each a join key with all suppliers of the nation on the other side.
+NATION_PARTS = 64
 
 NAMES = re.compile(rf"\b({'|'.join(TABLES)})\b")
 
@@ -66,6 +68,13 @@ def orders_without_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.not_in(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")
 
 
+def poorer_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of suppliers of a nation, the poorer one first. The few nations are cut into parts, so that the pairs are made in many tasks, and by merging, in bounded memory."""
+    side = lambda name: table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias(name), F.col("s_acctbal").alias(f"{name}_bal"))
+    pairs = joins.salted_join(side("a"), side("b").hint("merge"), ["s_nationkey"], NATION_PARTS)
+    return pairs.filter("a_bal < b_bal").select("a", "b")
+
+
 def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
     sold = joins.salted_join(lines, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), ["l_suppkey"], 4)
@@ -168,6 +177,7 @@ OWN: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "range_join": (ranges, "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice BETWEEN abs(s_acctbal) / 10 AND abs(s_acctbal) / 10 + 2"),
     "not_in_subquery": (orders_without_lines, SHARED["not_in_subquery"]),
+    "theta_join": (poorer_of_nation, SHARED["theta_join"]),
     "salted_join": (salted, "SELECT s_nationkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey"),
     "top_per_group": (
         top_events,

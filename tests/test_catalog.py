@@ -51,3 +51,12 @@ def test_matches_duckdb(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"nearest_neighbours"}  # see test_neighbours.py
+
+
+def test_theta_join_has_all_pairs(spark):
+    """Whatever their distance, in more join keys than there are nations."""
+    have = spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal").collect()
+    got = catalog.QUERIES["theta_join"](spark, DATA)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((x[0], y[0]) for x in have for y in have if x[1] == y[1] and x[2] < y[2])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_salt" in plan
