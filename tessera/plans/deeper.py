@@ -37,7 +37,7 @@ def open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("double")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day("o_orderdate").alias("o_low"), (day("o_orderdate") + F.floor(F.col("o_totalprice") / 2000)).alias("o_high"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", day("l_shipdate").alias("l_low"), (day("l_shipdate") + F.col("l_quantity")).alias("l_high"))
-    lines = lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").withColumnRenamed("o_orderkey", "l_orderkey")
+    lines = saved(lines.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey").withColumnRenamed("o_orderkey", "l_orderkey"), "lines-of-customers")
     return overlaps.overlap_join(orders, lines, ["o_custkey"], ("o_low", "o_high"), ("l_low", "l_high"), 1.0).select("o_custkey", "o_orderkey", "l_orderkey", "l_partkey")
 
 

@@ -47,3 +47,19 @@ def test_rows_after_exploding(spark):
     assert joined.count() == 40_000
     kinds = [r[0] for r in long.select(overlaps.scale(long.low, long.high, 1.0)).distinct().collect()]
     assert kinds == [6]
+
+
+@pytest.mark.parametrize("most", [0, 70, 10**9])
+def test_light_and_heavy_keys(spark, monkeypatch, most):
+    """Keys with few rows on a side are joined without repeating rows, the others in buckets, to the same pairs."""
+    monkeypatch.setattr(overlaps, "LIGHT", most)
+    rng = random.Random(8)
+    one, two = intervals(rng, 250, ("a", "b", "c", "c", None)), intervals(rng, 300, ("a", "c", "c", None, "d"))
+    left = spark.createDataFrame(one, "i int, k string, s double, e double")
+    right = spark.createDataFrame(two, "j int, k string, low double, high double")
+    joined = overlaps.overlap_join(left, right, ["k"], ("s", "e"), ("low", "high"))
+    ok = lambda x: x[2] is not None and x[2] <= x[3]
+    want = sorted((a[0], b[0]) for a in one for b in two if ok(a) and ok(b) and a[1] is not None and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    assert sorted((r.i, r.j) for r in joined.collect()) == want and len(want) > 1000
+    assert ("Generate" in joined._jdf.queryExecution().executedPlan().toString()) == (most < 10**9)
+    assert joined.columns == ["i", "k", "s", "e", "j", "low", "high"]
