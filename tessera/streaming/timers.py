@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,12 +18,15 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 class Unanswered(StatefulProcessor):
     """First events of a user that no second one followed within a time, when that time is over by the watermark.
 
-    Open first events are a map from event to time, the second ones a list of
-    times; each first event sets a timer at its end. When the watermark passes
-    it, all events up to then are in, in whatever order they came, so the
-    answer is final: the event is given out unless a second one lies in its
-    time, and leaves the state. Second events expire by a timer of their own,
-    or by a later one while an open first event may need them.
+    Open first events are a list of ids and times, the second ones a list of
+    times; a batch of a user's events is appended to both at once. A user has one
+    timer for a batch, at the earliest end of what it has. When the watermark
+    passes it, all events up to the watermark are in, in whatever order they
+    came, so the answers up to there are final: the events are given out unless a
+    second one lies in their time, and leave the state. Second events stay while
+    an event that is open or still to come may need them. What is left sets the
+    next timer. So calls to the state grow with users and batches, not with
+    events, and no event is looked at again for each other one.
     """
 
     def __init__(self, first: str, second: str, within: dt.timedelta):
@@ -30,18 +34,21 @@ class Unanswered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "event_id long", "at long")
+        self.open = handle.getListState("open", "event_id long, at long")
         self.answers = handle.getListState("answers", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = []
         for batch in rows:
-            for event_id, kind, at in zip(batch["event_id"].tolist(), batch["event_type"], batch["at"].tolist(), strict=True):
-                if kind == self.first:
-                    self.open.updateValue((event_id,), (at,))
-                    self.handle.registerTimer(self.ends(at))
-                elif kind == self.second:
-                    self.answers.appendValue((at,))
-                    self.handle.registerTimer(at // 1000 + 1)
+            first, second = batch[batch["event_type"] == self.first], batch[batch["event_type"] == self.second]
+            if len(first):
+                self.open.appendList(list(zip(first["event_id"].tolist(), first["at"].tolist(), strict=True)))
+                ends.append(self.ends(int(first["at"].min())))
+            if len(second):
+                self.answers.appendList([(a,) for a in second["at"].tolist()])
+                ends.append(int(second["at"].min()) // 1000 + 1)
+        if ends:
+            self.handle.registerTimer(min(ends))
         return iter(())
 
     def ends(self, at: int) -> int:
@@ -49,18 +56,23 @@ class Unanswered(StatefulProcessor):
         return (at + self.within) // 1000 + 1
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs()
         answers = sorted(a for (a,) in self.answers.get())
-        events = [(e, at) for (e,), (at,) in self.open.iterator()]
-        over = [(e, at) for e, at in events if self.ends(at) <= now]
-        for e, _ in over:
-            self.open.removeKey((e,))
-        still = [at for _, at in events if self.ends(at) > now]
-        # an event that is still to come isn't older than the watermark, which is at `now` at least
-        needed = [(a,) for a in answers if a >= min([*still, now * 1000])]
+        had = list(self.open.get())
+        events = dict(had)  # the last time of an event that came twice
+        over = [(e, at) for e, at in events.items() if self.ends(at) <= now]
+        still = [(e, at) for e, at in events.items() if self.ends(at) > now]
+        if len(still) < len(had):
+            self.open.put(still) if still else self.open.clear()
+        # an event that is still to come isn't older than the watermark
+        least = min([*[at for _, at in still], now * 1000])
+        needed = answers[bisect_left(answers, least) :]
         if len(needed) < len(answers):
-            self.answers.put(needed) if needed else self.answers.clear()
-        lost = [(key[0], e, at) for e, at in over if not any(at <= a <= at + self.within for a in answers)]
+            self.answers.put([(a,) for a in needed]) if needed else self.answers.clear()
+        following = [self.ends(at) for _, at in still] + [a // 1000 + 1 for a in needed if a // 1000 >= now]
+        if following:
+            self.handle.registerTimer(min(following))
+        lost = [(key[0], e, at) for e, at in over if (i := bisect_left(answers, at)) == len(answers) or answers[i] > at + self.within]
         if lost:
             users, ids, times = zip(*lost, strict=True)
             yield pd.DataFrame({"user_id": users, "event_id": ids, "at": times})

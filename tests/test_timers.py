@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 
 from tessera.streaming import timers, windows
@@ -38,3 +39,63 @@ def test_unanswered_views_out_of_order(store, tmp_path):
     over = max(e[1] for e in mine) - late
     want = sorted((e[2], e[0], e[1]) for e in mine if e[3] == "view" and e[1] + within <= over and not any(o[3] == "purchase" and o[2] == e[2] and e[1] <= o[1] <= e[1] + within for o in mine))
     assert got == want and 5 < len(want) < 40
+
+
+class Counting:
+    """A handle that keeps lists and timers of one user, and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.lists, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        return Listed(self, self.lists.setdefault(name, []))
+
+    getMapState = None  # a call for each event
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Listed:
+    def __init__(self, handle, rows):
+        self.handle, self.rows = handle, rows
+
+    def called(self):
+        self.handle.calls += 1
+        return self.rows
+
+    def get(self):
+        return iter(list(self.called()))
+
+    def appendList(self, rows):
+        self.called().extend(rows)
+
+    def put(self, rows):
+        self.called()[:] = rows
+
+    def clear(self):
+        self.called().clear()
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_calls_to_the_state_do_not_grow_with_a_users_events():
+    rng, within = random.Random(4), 7_200_000_000
+    at = [rng.randrange(10**13) for _ in range(4000)]
+    batch = pd.DataFrame({"event_id": range(4000), "event_type": [rng.choice(["view", "purchase"]) for _ in at], "at": at})
+    handle, own = Counting(), timers.Unanswered("view", "purchase", dt.timedelta(hours=2))
+    own.init(handle)
+    list(own.handleInputRows((1,), iter([batch]), Now(0)))
+    got, marks = [], [4 * 10**9, 7 * 10**9, 10**10 + 10**8]
+    for mark in marks:  # as the watermark rises
+        for t in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(t)
+            for out in own.handleExpiredTimer((1,), Now(mark), Now(t)):
+                got += out["event_id"].tolist()
+    buys = [a for a, kind in zip(at, batch["event_type"], strict=True) if kind == "purchase"]
+    assert sorted(got) == [i for i, kind in enumerate(batch["event_type"]) if kind == "view" and not any(at[i] <= b <= at[i] + within for b in buys)]
+    assert handle.calls < 30 and not handle.timers and not any(handle.lists.values())
