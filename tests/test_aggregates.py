@@ -103,3 +103,11 @@ def test_reachable_pairs(spark):
     assert {(r.a, r.b): r.steps for r in reach.reachable(df, "a", "b", some).collect()} == closure(edges, [100, 7])
     assert {(r.a, r.b) for r in reach.reachable(df, "a", "b", most=2).collect()} == {k for k, n in closure(edges).items() if n <= 2}
     assert reach.reachable(df.limit(0), "a", "b").collect() == []
+
+
+def test_sketches_are_not_kept_for_each_distinct_value(spark):
+    from tessera.plans import catalog
+
+    plan = catalog.QUERIES["sketched_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    with_sketches = [line for line in plan.split("\n") if "Aggregate" in line and "approx_count_distinct(" in line]
+    assert with_sketches and not any("(distinct l_partkey" in line for line in with_sketches)
