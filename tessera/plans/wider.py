@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import frames, groups, joins
+from tessera.operators import frames, groups, joins, quantiles
 from tessera.sources import formats
 from tessera.sources.shared import fresh_path
 from tessera.sources.tables import table
@@ -59,8 +59,9 @@ def exploded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-    return rows.agg(F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.percentile("l_extendedprice", 0.25), 4).alias("p25"))
+    """By narrowing histograms: the percentile aggregate keeps a flag's distinct prices in one buffer."""
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.9, 0.25])
+    return found.select("l_returnflag", *[F.round(F.get("quantiles", F.lit(i)), 4).alias(name) for i, name in enumerate(("p90", "p25"))])
 
 
 def sketched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

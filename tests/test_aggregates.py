@@ -111,3 +111,10 @@ def test_sketches_are_not_kept_for_each_distinct_value(spark):
     plan = catalog.QUERIES["sketched_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     with_sketches = [line for line in plan.split("\n") if "Aggregate" in line and "approx_count_distinct(" in line]
     assert with_sketches and not any("(distinct l_partkey" in line for line in with_sketches)
+
+
+def test_percentiles_keep_no_buffer_of_values(spark):
+    from tessera.plans import catalog
+
+    plan = catalog.QUERIES["percentiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
